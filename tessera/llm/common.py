@@ -88,3 +88,49 @@ def sums(values: np.ndarray, off: np.ndarray) -> np.ndarray:
 def crc_mod(column, k: int):
     """crc32 of a value as text, modulo k; null counts as an empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % k
+
+
+_RNG = np.random.default_rng(20240229)
+BYTE_CODE = _RNG.integers(1, 1 << 62, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15
+_POWERS: dict[str, np.ndarray] = {}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """_BASE ** i and its inverses modulo 2 ** 64, kept for the longest chunk so far."""
+    if len(_POWERS.get("up", ())) < n:
+        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+            p = np.full(n, base, np.uint64)
+            p[:1] = 1
+            _POWERS[name] = np.multiply.accumulate(p)
+    return _POWERS["up"], _POWERS["down"]
+
+
+class SliceHash:
+    """64-bit hashes of any slices of a byte buffer: prefix sums of code(byte) * base ** position."""
+
+    def __init__(self, data: np.ndarray):
+        up, self.down = _powers(len(data) + 1)
+        self.prefix = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(BYTE_CODE[data] * up[: len(data)], out=self.prefix[1:])
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        h = (self.prefix[end] - self.prefix[start]) * self.down[start]
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return h ^ (h >> np.uint64(32))
+
+
+def words(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, document) of the maximal runs of True that stay inside a document."""
+    n = len(inside)
+    if not n:
+        z = np.empty(0, np.int64)
+        return z, z, z
+    edge = np.zeros(n + 1, bool)
+    edge[off] = True
+    first = inside.copy()
+    first[1:] &= ~inside[:-1] | edge[1:n]
+    last = inside.copy()
+    last[:-1] &= ~inside[1:] | edge[1:n]
+    start = np.flatnonzero(first)
+    return start, np.flatnonzero(last) + 1, np.searchsorted(off, start, "right") - 1

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.common import table
+from tessera.llm.langid import identify_languages
+from tessera.llm.media import text_media
+from tessera.llm.quality import judge_quality
 from tessera.llm.sharding import histogram_shards
 from tessera.llm.urlrules import judge_urls, rules_frame
 
@@ -17,7 +20,25 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), rules_frame(spark))
 
 
-QUERIES = {"op6_sharding": op6_sharding, "op7_url_filters": op7_url_filters}
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_media(table(spark, sf_dir, "documents"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op4_quality_classifier": op4_quality_classifier,
+    "op6_sharding": op6_sharding,
+    "op7_url_filters": op7_url_filters,
+    "op8_media_columns": op8_media_columns,
+    "op10_language_id": op10_language_id,
+}
 
 ORACLE = {
     "op7_url_filters": r"""
