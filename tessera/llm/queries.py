@@ -7,11 +7,16 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm.common import table
 from tessera.llm.langid import identify_languages
 from tessera.llm.media import text_media
+from tessera.llm.pieces import Pieces, encode_pieces
 from tessera.llm.quality import judge_quality
 from tessera.llm.sharding import histogram_shards
 from tessera.llm.urlrules import judge_urls, rules_frame
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(table(spark, sf_dir, "documents"), Pieces.load()).drop("ids")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram_shards(table(spark, sf_dir, "documents"))
 
@@ -34,6 +39,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_sharding": op6_sharding,
     "op7_url_filters": op7_url_filters,
     "op8_media_columns": op8_media_columns,
