@@ -106,6 +106,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
 class SliceHash:
     """64-bit hashes of any slices of a byte buffer: prefix sums of code(byte) * base ** position."""
 
@@ -115,9 +120,7 @@ class SliceHash:
         np.cumsum(BYTE_CODE[data] * up[: len(data)], out=self.prefix[1:])
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        h = (self.prefix[end] - self.prefix[start]) * self.down[start]
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        return h ^ (h >> np.uint64(32))
+        return mixed((self.prefix[end] - self.prefix[start]) * self.down[start])
 
 
 def words(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

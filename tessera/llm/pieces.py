@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import sys
+import types
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,25 +12,56 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SliceHash, chunks, ranges
+from tessera.llm.common import SliceHash, chunks, mixed, ranges
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Cells of one Viterbi table; bounds the memory of a batch of equal-length words.
 CELLS = 1 << 21
-#: Score of a byte piece: taken only where no piece covers a character.
+#: Score of a byte piece in a unigram model: taken only where no piece covers a character.
 BYTE_SCORE = -100.0
-#: What a piece of a merge list costs besides its Zipf log-probability: fewer, longer pieces, as merging gives them.
-LENGTH_COST = 0.0
-FILTER_BITS = 20
+#: Words whose pieces a worker keeps; results do not depend on it.
+KEPT_WORDS = 1_500_000
+FILTER_BITS = 21
+NEVER = np.int64(1) << 40
+
+
+class Index:
+    """Sorted 64-bit keys behind a bit for each of their first bits, and the place of the first key with these bits."""
+
+    def __init__(self, keys: np.ndarray):
+        first = (keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+        self.seen = np.zeros(1 << FILTER_BITS, bool)
+        self.seen[first] = True
+        self.place = np.searchsorted(first, np.arange(1 << FILTER_BITS)).astype(np.int32)
+        self.deep = int(np.bincount(first).max()) if len(keys) else 0
+        self.keys = np.append(keys, np.zeros(self.deep, np.uint64))
+
+    def probe(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places in h, places in keys) of the values that both hold."""
+        top = (h >> np.uint64(64 - FILTER_BITS)).astype(np.int32)
+        maybe = np.flatnonzero(self.seen[top])
+        h, where = h[maybe], self.place[top[maybe]]
+        hit = self.keys[where] == h
+        for _ in range(1, self.deep):
+            where = where + ~hit
+            hit = self.keys[where] == h
+        return maybe[hit], where[hit]
+
+
+def _pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = (a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64)
+    return x * np.uint64(0x9E3779B97F4A7C15)  # odd, so no two pairs meet
 
 
 @dataclass(frozen=True)
 class Pieces:
     """A vocabulary as arrays: sorted hashes of the piece strings with their ids and scores, and the bytes of every id.
 
-    A space stands for the word mark, so a mark in a text has no piece and falls back to bytes: decoding is exact.
-    Scores of a unigram model are used as they are; a merge list has ranks, which become Zipf log-probabilities.
+    A unigram model takes the path of the largest total score. In a merge list (byte pair encoding) a path is right
+    exactly if no two neighbours would have merged differently, and each prefix has one such path; so the same
+    tables are filled, with neighbours that fit scoring 0 and others nothing. A space stands for the word mark, so a
+    mark in a text has no piece and falls back to bytes: decoding is exact for every text.
     """
 
     keys: np.ndarray
@@ -39,6 +72,12 @@ class Pieces:
     byte_ids: np.ndarray
     longest: int
     joined: np.ndarray  # bytes that occur in pieces of several bytes; the others are words of their own
+    merges: bool
+    time: np.ndarray  # when a piece is merged; -1 for characters and bytes
+    left: np.ndarray
+    right: np.ndarray
+    pairs: np.ndarray  # sorted keys of pairs that merge, and when
+    pair_time: np.ndarray
 
     @staticmethod
     def load(path: str = MODEL) -> Pieces:
@@ -60,10 +99,25 @@ class Pieces:
         if (byte_ids < 0).any():
             raise ValueError("the vocabulary has no byte pieces, so not every text could be encoded")
         score = np.array([model.get_score(i) for i in normal])
-        rank = np.arange(len(normal), dtype=float)
-        if (score == np.round(score)).all() and score.min() < -1000:  # a merge list: minus the rank, in order
-            weight = 1 / (rank + 10.0)
-            score = np.log(weight / weight.sum()) - LENGTH_COST
+        merges = bool((score == np.round(score)).all() and score.min() < -1000)  # a merge list scores minus its ranks
+        time, left, right = np.full(n, -1, np.int64), np.arange(n), np.arange(n)
+        pairs: dict[tuple[int, int], int] = {}
+        if merges:
+            named = {raw[i].decode(): i for i in normal}
+            rank = {s: r for r, s in enumerate(sorted({-s for s in score}))}
+            when = {i: rank[-s] for i, s in zip(normal, score, strict=True)}
+            reached = []
+            for word, i in named.items():
+                if len(word) > 1:
+                    pairs |= {(named[word[:k]], named[word[k:]]): when[i] for k in range(1, len(word)) if word[:k] in named and word[k:] in named}
+            for word, i in named.items():
+                last = _last_merge(word, named, when, pairs)
+                if last is not None:
+                    reached.append(i)
+                    if len(word) > 1:
+                        time[i], (left[i], right[i]) = when[i], last
+            keep = np.isin(normal, reached)
+            normal, score = [i for i, k in zip(normal, keep, strict=True) if k], np.zeros(int(keep.sum()))
         offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
         data = np.frombuffer(b"".join(raw), np.uint8)
         at = np.array(normal)
@@ -75,37 +129,64 @@ class Pieces:
         for i in normal:
             if len(raw[i]) > 1:
                 joined[list(raw[i])] = True
-        return Pieces(h[order], at[order].astype(np.int32), score[order], data, offsets, byte_ids, int(np.diff(offsets).max()), joined)
+        a, b, t = (np.array(x, np.int64) for x in (zip(*[(a, b, t) for (a, b), t in pairs.items()], strict=True) if pairs else ([], [], [])))
+        key = _pair_key(a, b)
+        by = np.argsort(key)
+        return Pieces(h[order], at[order].astype(np.int32), score[order], data, offsets, byte_ids, int(np.diff(offsets).max()), joined, merges, time, left, right, key[by], t[by])
 
-    def table(self) -> np.ndarray:
-        seen = np.zeros(1 << FILTER_BITS, bool)
-        seen[(self.keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-        return seen
+    def fit(self, a: np.ndarray, b: np.ndarray, seen: Index) -> np.ndarray:
+        """Whether merging leaves the border between pieces a and b: their last merges are undone in turn, newest first,
+        and at no time may the two that then met have merged with each other."""
+        good = np.ones(len(a), bool)
+        live = np.arange(len(a))
+        a, b = a.astype(np.int64), b.astype(np.int64)
+        limit = np.full(len(a), NEVER)
+        while len(live):
+            met = np.full(len(live), NEVER)
+            i, k = seen.probe(_pair_key(a, b))
+            met[i] = self.pair_time[k]
+            bad = met < limit
+            good[live[bad]] = False
+            ta, tb = self.time[a], self.time[b]
+            undo = ta > tb
+            limit = np.where(undo, ta, tb + 1)
+            a, b = np.where(undo, self.right[a], a), np.where(undo, b, self.left[b])
+            on = ~bad & ((ta >= 0) | (tb >= 0))
+            live, a, b, limit = live[on], a[on], b[on], limit[on]
+        return good
+
+    def viterbi(self, data: np.ndarray, odd: np.ndarray, hashed: SliceHash, seen: tuple[Index, Index], start: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens, tokens of each word) of words data[start:start+size]; all words advance one byte at a time.
 
-    def viterbi(self, data: np.ndarray, hashed: SliceHash, seen: np.ndarray, start: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """(tokens, tokens of each word) of words data[start:start+size]; all words advance one byte at a time."""
+        odd: bytes of characters without a piece."""
         n = len(start)
         best = np.full((n, size + 1), -np.inf)
         best[:, 0] = 0
         step = np.ones((n, size + 1), np.int32)
         piece = np.zeros((n, size + 1), np.int32)
+        row = np.arange(n)
+        every = start[:, None] + np.arange(size + 1)
+        prefix, down = hashed.prefix[every], hashed.down[every]
         for end in range(1, size + 1):
             first = max(0, end - self.longest)
-            at = start[:, None] + np.arange(first, end)
-            h = hashed(at.ravel(), np.broadcast_to(start[:, None] + end, at.shape).ravel())
-            maybe = np.flatnonzero(seen[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
-            where = np.minimum(np.searchsorted(self.keys, h[maybe]), len(self.keys) - 1)
-            hit = self.keys[where] == h[maybe]
-            maybe, where = maybe[hit], where[hit]
-            gain = np.full(at.shape, -np.inf)
+            maybe, where = seen[0].probe(mixed((prefix[:, end, None] - prefix[:, first:end]) * down[:, first:end]).ravel())
+            if self.merges:
+                r, c = np.divmod(maybe, end - first)
+                c += first
+                open_ = np.isfinite(best[r, c])
+                maybe, where, r, c = maybe[open_], where[open_], r[open_], c[open_]
+                inner = np.flatnonzero(c > 0)
+                good = np.ones(len(c), bool)
+                good[inner] = self.fit(piece[r[inner], c[inner]], self.ids[where[inner]], seen[1])
+                maybe, where = maybe[good], where[good]
+            gain = np.full((n, end - first), -np.inf)
             gain.ravel()[maybe] = self.scores[where]
-            found = np.zeros(at.shape, np.int32)
+            found = np.zeros((n, end - first), np.int32)
             found.ravel()[maybe] = self.ids[where]
             total = best[:, first:end] + gain
             pick = total.argmax(axis=1)  # the first of equals, which is the longest piece
-            row = np.arange(n)
             top = total[row, pick]
-            fall = best[:, end - 1] + BYTE_SCORE
+            fall = np.where(odd[start + end - 1], best[:, end - 1] + BYTE_SCORE, -np.inf)
             use = top > fall
             best[:, end] = np.where(use, top, fall)
             step[:, end] = np.where(use, end - first - pick, 1)
@@ -122,7 +203,30 @@ class Pieces:
         order = np.lexsort((-np.arange(len(rows)), rows))  # last token was found first
         return tokens[order], np.bincount(rows, minlength=n)
 
-    def encode(self, data: np.ndarray, off: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def solve(self, buf: np.ndarray, hashed: SliceHash, start: np.ndarray, sizes: np.ndarray, seen: tuple[Index, Index]) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens, tokens of each word) of distinct words, those of equal length together."""
+        head = np.flatnonzero((buf & 0xC0) != 0x80)
+        wide = np.diff(np.append(head, len(buf)))
+        known = np.zeros(len(head), bool)
+        known[seen[0].probe(hashed(head, head + wide))[0]] = True
+        odd = np.repeat(~known, wide) if len(head) and head[0] == 0 else np.ones(len(buf), bool)
+        order = np.argsort(sizes, kind="stable")
+        bounds = np.flatnonzero(np.append(True, np.diff(sizes[order]) > 0))
+        parts, counts = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+        for lo, hi in zip(bounds, np.append(bounds[1:], len(order)), strict=True):
+            one = int(sizes[order[lo]])
+            block = max(1, CELLS // (min(one, self.longest) * 4 + one))
+            for k in range(lo, hi, block):
+                t, c = self.viterbi(buf, odd, hashed, seen, start[order[k : min(hi, k + block)]], one)
+                parts.append(t)
+                counts.append(c)
+        tokens, count = np.concatenate(parts), np.empty(len(order), np.int64)
+        count[order] = np.concatenate(counts)
+        begin = np.empty(len(order), np.int64)
+        begin[order] = np.cumsum(count[order]) - count[order]
+        return tokens[ranges(begin, count)], count
+
+    def encode(self, data: np.ndarray, off: np.ndarray, kept: Kept) -> tuple[np.ndarray, np.ndarray]:
         """(tokens, offsets) of texts; a text that is not empty gets a space in front, as the mark of its first word."""
         n = len(off) - 1
         size = np.diff(off)
@@ -133,29 +237,16 @@ class Pieces:
         if not len(buf):
             return np.empty(0, np.int32), np.zeros(n + 1, np.int64)
         space, own = buf == 32, ~self.joined[buf]
+        own[buf >= 128] = False  # a character stays whole
         first = own.copy()
         first[1:] |= own[:-1] | (space[1:] & ~space[:-1])
         first[to[:-1][lead > 0]] = True
         start = np.flatnonzero(first)
         length = np.diff(np.append(start, len(buf)))
         hashed = SliceHash(buf)
-        _, at, word = np.unique(hashed(start, start + length) ^ (length.astype(np.uint64) << np.uint64(40)), return_index=True, return_inverse=True)
-        kinds, sizes = start[at], length[at]
-        order = np.argsort(sizes, kind="stable")
-        bounds = np.flatnonzero(np.append(True, np.diff(sizes[order]) > 0))
-        parts, counts = [], []
-        for lo, hi in zip(bounds, np.append(bounds[1:], len(order)), strict=True):
-            one = int(sizes[order[lo]])
-            block = max(1, CELLS // (min(one, self.longest) * 4 + one))
-            for k in range(lo, hi, block):
-                t, c = self.viterbi(buf, hashed, seen, kinds[order[k : min(hi, k + block)]], one)
-                parts.append(t)
-                counts.append(c)
-        tokens, count = np.concatenate(parts), np.empty(len(order), np.int64)
-        count[order] = np.concatenate(counts)
-        begin = np.empty(len(order), np.int64)
-        begin[order] = np.cumsum(count[order]) - count[order]
-        out = tokens[ranges(begin[word], count[word])]
+        names, at, word = np.unique(hashed(start, start + length) ^ (length.astype(np.uint64) << np.uint64(40)), return_index=True, return_inverse=True)
+        begin, count = kept.words(self, names, lambda new: self.solve(buf, hashed, start[at[new]], length[at[new]], kept.seen))
+        out = kept.tokens[ranges(begin[word], count[word])]
         before = np.concatenate([[0], np.cumsum(count[word])])
         return out, before[np.searchsorted(start, to)]
 
@@ -170,6 +261,59 @@ class Pieces:
         return data[keep], to - np.concatenate([[0], np.cumsum(lead)])
 
 
+def _last_merge(word: str, named: dict[str, int], when: dict[int, int], pairs: dict[tuple[int, int], int]) -> tuple[int, int] | None:
+    """The two pieces whose merge makes the word, if merging its characters makes it; a character is made of itself."""
+    if any(c not in named for c in word):
+        return None
+    parts = [named[c] for c in word]
+    last = (parts[0], parts[0]) if len(parts) == 1 else None
+    texts = list(word)
+    while len(parts) > 1:
+        t, k = min((pairs.get(p, NEVER), k) for k, p in enumerate(zip(parts, parts[1:], strict=False)))
+        if t == NEVER:
+            return None
+        last = parts[k], parts[k + 1]
+        texts[k : k + 2] = [texts[k] + texts[k + 1]]
+        parts[k : k + 2] = [named[texts[k]]]
+    return last
+
+
+class Kept:
+    """Filters of a vocabulary, and the pieces of the words that this worker has met, by their 64-bit hashes."""
+
+    def __init__(self, pieces: Pieces):
+        self.seen = Index(pieces.keys), Index(pieces.pairs)
+        self.clear()
+
+    def clear(self) -> None:
+        self.names, self.begin, self.count, self.tokens = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
+
+    def words(self, pieces: Pieces, names: np.ndarray, solve) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.names) > KEPT_WORDS:
+            self.clear()
+        at = np.searchsorted(self.names, names)
+        old = np.zeros(len(names), bool)
+        inside = at < len(self.names)
+        old[inside] = self.names[at[inside]] == names[inside]
+        new = np.flatnonzero(~old)
+        if len(new):
+            tokens, count = solve(new)
+            begin = len(self.tokens) + np.cumsum(count) - count
+            self.tokens = np.concatenate([self.tokens, tokens])
+            self.names, self.begin, self.count = (np.insert(x, at[new], y) for x, y in ((self.names, names[new]), (self.begin, begin), (self.count, count)))
+            at = np.searchsorted(self.names, names)
+        return self.begin[at], self.count[at]
+
+    @staticmethod
+    def of(pieces: Pieces) -> Kept:
+        """This worker process's own, shared by its tasks."""
+        state = sys.modules.setdefault("tessera_worker_state", types.ModuleType("tessera_worker_state"))
+        name = hashlib.sha256(pieces.bytes_.tobytes() + pieces.scores.tobytes()).hexdigest()
+        if getattr(state, "name", None) != name:
+            state.name, state.kept = name, Kept(pieces)
+        return state.kept
+
+
 def encode_pieces(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ids (array of int), n_bytes, n_tokens, ids_sha256 (of little-endian 32-bit ids), exact (decoding gives the text).
 
@@ -179,10 +323,10 @@ def encode_pieces(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        seen = pieces.table()
+        kept = Kept.of(pieces)
         for batch in batches:
             for part, data, off in chunks(batch, "text"):
-                ids, at = pieces.encode(data, off, seen)
+                ids, at = pieces.encode(data, off, kept)
                 back, to = pieces.decode(ids, at)
                 same = np.diff(to) == np.diff(off)
                 if len(back) != len(data) or not np.array_equal(back, data):
