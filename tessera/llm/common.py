@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, n: int):
+    """Arrow batches of n narrow rows for what runs inside."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that the cluster shares; a temporary one only where none is named."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -137,3 +150,30 @@ def words(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     last[:-1] &= ~inside[1:] | edge[1:n]
     start = np.flatnonzero(first)
     return start, np.flatnonzero(last) + 1, np.searchsorted(off, start, "right") - 1
+
+
+#: First bits of a key that an Index answers by table.
+FILTER_BITS = 21
+
+
+class Index:
+    """Sorted 64-bit keys behind a bit for each of their first bits, and the place of the first key with these bits."""
+
+    def __init__(self, keys: np.ndarray):
+        first = (keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+        self.seen = np.zeros(1 << FILTER_BITS, bool)
+        self.seen[first] = True
+        self.place = np.searchsorted(first, np.arange(1 << FILTER_BITS)).astype(np.int32)
+        self.deep = int(np.bincount(first).max()) if len(keys) else 0
+        self.keys = np.append(keys, np.zeros(self.deep, np.uint64))
+
+    def probe(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places in h, places in keys) of the values that both hold."""
+        top = (h >> np.uint64(64 - FILTER_BITS)).astype(np.int32)
+        maybe = np.flatnonzero(self.seen[top])
+        h, where = h[maybe], self.place[top[maybe]]
+        hit = self.keys[where] == h
+        for _ in range(1, self.deep):
+            where = where + ~hit
+            hit = self.keys[where] == h
+        return maybe[hit], where[hit]

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SliceHash, chunks, mixed, ranges
+from tessera.llm.common import Index, SliceHash, chunks, mixed, ranges
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -22,33 +22,9 @@ CELLS = 1 << 21
 BYTE_SCORE = -100.0
 #: Words whose pieces a worker keeps; results do not depend on it.
 KEPT_WORDS = 1_500_000
-FILTER_BITS = 21
 NEVER = np.int64(1) << 40
 
 
-class Index:
-    """Sorted 64-bit keys behind a bit for each of their first bits, and the place of the first key with these bits."""
-
-    def __init__(self, keys: np.ndarray):
-        first = (keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-        self.seen = np.zeros(1 << FILTER_BITS, bool)
-        self.seen[first] = True
-        self.place = np.searchsorted(first, np.arange(1 << FILTER_BITS)).astype(np.int32)
-        self.deep = int(np.bincount(first).max()) if len(keys) else 0
-        self.keys = np.append(keys, np.zeros(self.deep, np.uint64))
-
-    def probe(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places in h, places in keys) of the values that both hold."""
-        top = (h >> np.uint64(64 - FILTER_BITS)).astype(np.int32)
-        maybe = np.flatnonzero(self.seen[top])
-        h, where = h[maybe], self.place[top[maybe]]
-        hit = self.keys[where] == h
-        for _ in range(1, self.deep):
-            where = where + ~hit
-            hit = self.keys[where] == h
-        return maybe[hit], where[hit]
-
-
 def _pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     x = (a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64)
     return x * np.uint64(0x9E3779B97F4A7C15)  # odd, so no two pairs meet

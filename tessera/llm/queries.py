@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.common import table
+from tessera.llm.decontam import decontaminate
 from tessera.llm.langid import identify_languages
 from tessera.llm.media import text_media
 from tessera.llm.pieces import Pieces, encode_pieces
 from tessera.llm.quality import judge_quality
 from tessera.llm.sharding import histogram_shards
+from tessera.llm.simhash import hex_print, near_duplicates
 from tessera.llm.urlrules import judge_urls, rules_frame
 
 
@@ -25,6 +27,14 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), rules_frame(spark))
 
 
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", hex_print("fp").alias("fingerprint"), "component_id")
+
+
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items", "spans")
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -38,6 +48,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_sharding": op6_sharding,
