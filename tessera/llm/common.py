@@ -92,12 +92,6 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
 
 
-def sums(values: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Sum of values[off[i]:off[i+1]] for each i; empty slices give 0."""
-    total = np.concatenate([[0], np.cumsum(values)])
-    return total[off[1:]] - total[off[:-1]]
-
-
 def crc_mod(column, k: int):
     """crc32 of a value as text, modulo k; null counts as an empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % k

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SliceHash, chunks, crc_mod, sums, words
+from tessera.llm.common import SliceHash, chunks, crc_mod, words
 
 #: Labelled rows that the fit takes at most (expected number of a hash-chosen sample).
 TRAIN_ROWS = 20_000
@@ -20,6 +20,23 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 SYMBOL = np.zeros(256, bool)
 SYMBOL[[ord(c) for c in "#$%&*@^~<>=+_\\{}[]"]] = True
+#: Classes of bytes whose shares are features.
+KINDS = ("other", "non_ascii", "digit", "upper", "symbol", "pipe", "stop", "comma", "newline", "punct")
+CLASS = np.zeros(256, np.int64)
+for _k, _on in enumerate(
+    [
+        lambda c: c >= 128,
+        lambda c: chr(c).isdigit() and c < 128,
+        lambda c: 65 <= c <= 90,
+        lambda c: SYMBOL[c],
+        lambda c: c == 124,
+        lambda c: c == 46,
+        lambda c: c == 44,
+        lambda c: c == 10,
+        lambda c: 32 < c < 127 and not chr(c).isalnum() and not SYMBOL[c] and c not in (124, 46, 44),
+    ]
+):
+    CLASS[[c for c in range(256) if _on(c)]] = _k + 1
 FEATURES = (
     "log_bytes", "log_words", "word_length", "longest_word", "non_ascii", "digits", "upper", "symbols", "pipes", "stops", "commas", "newlines",
     "other_punct", "repeated_next", "distinct_words", "distinct_pairs", "top_word", "symbol_words", "short_words", "one_pipe_words",
@@ -27,16 +44,24 @@ FEATURES = (
 )
 
 
+def group_max(values: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """Largest value of each document (sorted), 0 without one."""
+    out = np.zeros(n)
+    if len(doc):
+        first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+        out[doc[first]] = np.maximum.reduceat(values, first)
+    return out
+
+
 def distinct(doc: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(number of distinct values, largest number of one value) for each document."""
-    most = np.zeros(n)
     if not len(h):
-        return np.zeros(n), most
-    order = np.lexsort((h, doc))
-    d, v = doc[order], h[order]
-    first = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (v[1:] != v[:-1])))
-    np.maximum.at(most, d[first], np.diff(np.append(first, len(d))))
-    return np.bincount(d[first], minlength=n).astype(float), most
+        return np.zeros(n), np.zeros(n)
+    bits = np.uint64(max(1, int(n).bit_length()))
+    key = np.sort((doc.astype(np.uint64) << (np.uint64(64) - bits)) | (h >> bits))
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    d = (key[first] >> (np.uint64(64) - bits)).astype(np.int64)
+    return np.bincount(d, minlength=n).astype(float), group_max(np.diff(np.append(first, len(key))), d, n)
 
 
 def statistics(data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -45,21 +70,18 @@ def statistics(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     size = np.maximum(1, np.diff(off)).astype(float)
     hashed = SliceHash(data)
 
-    def share(mask: np.ndarray) -> np.ndarray:
-        return sums(mask, off) / size
-
+    kind = np.bincount(np.repeat(np.arange(n) * len(KINDS), np.diff(off)) + CLASS[data], minlength=n * len(KINDS)).reshape(n, len(KINDS))
+    share = dict(zip(KINDS, (kind / size[:, None]).T, strict=True))
     start, end, doc = words(~SPACE[data], off)
     count = np.bincount(doc, minlength=n)
     per = np.maximum(1, count)
     h = hashed(start, end)
     length = end - start
-    longest = np.zeros(n)
-    np.maximum.at(longest, doc, length)
+    longest = group_max(length, doc, n)
     next_same = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])
     by = np.bincount(doc[1:][next_same], minlength=n)
     run_start = np.flatnonzero(np.append(True, ~next_same)) if len(h) else np.empty(0, np.int64)
-    run = np.zeros(n)
-    np.maximum.at(run, doc[run_start], np.diff(np.append(run_start, len(h))))
+    run = group_max(np.diff(np.append(run_start, len(h))), doc[run_start], n)
     kinds, top = distinct(doc, h, n)
     inside = doc[1:] == doc[:-1]
     pairs, _ = distinct(doc[1:][inside], (h[1:] * np.uint64(3) + h[:-1])[inside], n)
@@ -67,14 +89,12 @@ def statistics(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     line_start, line_end, line_doc = words(data != 10, off)
     lines = np.bincount(line_doc, minlength=n)
     line_kinds, _ = distinct(line_doc, hashed(line_start, line_end), n)
-    punct = ((data > 32) & (data < 48) | (data > 57) & (data < 65) | (data > 90) & (data < 97) | (data > 122) & (data < 127)) & ~SYMBOL[data]
-    stop = data == 46
     columns = [
-        np.log1p(np.diff(off)), np.log1p(count), np.bincount(doc, length, n) / per, np.log1p(longest), share(data >= 128), share((data >= 48) & (data <= 57)),
-        share((data >= 65) & (data <= 90)), share(SYMBOL[data]), share(data == 124), share(stop), share(data == 44), share(data == 10), share(punct),
+        np.log1p(np.diff(off)), np.log1p(count), np.bincount(doc, length, n) / per, np.log1p(longest), share["non_ascii"], share["digit"],
+        share["upper"], share["symbol"], share["pipe"], share["stop"], share["comma"], share["newline"], share["punct"],
         by / per, kinds / per, pairs / np.maximum(1, count - 1), top / per, np.bincount(doc, SYMBOL[last], n) / per, np.bincount(doc, length <= 3, n) / per,
         np.bincount(doc, (length == 1) & (head == 124), n) / per, np.log1p(lines), 1 - line_kinds / np.maximum(1, lines), size / np.maximum(1, lines),
-        sums(stop, off) / per, np.bincount(doc, (head >= 65) & (head <= 90), n) / per, np.log1p(run),
+        kind[:, KINDS.index("stop")] / per, np.bincount(doc, (head >= 65) & (head <= 90), n) / per, np.log1p(run),
     ]
     return np.column_stack(columns).astype(np.float32)
 

@@ -66,6 +66,25 @@ def xxh64(buf: np.ndarray, start: np.ndarray, size: int, seed: int = SEED) -> np
     return h ^ (h >> np.uint64(32))
 
 
+#: The eight bits of a byte, as the eight bytes of a number.
+SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").ravel()
+
+
+def bit_counts(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How many values of each group (sizes, none 0) have each of the 64 bits: byte-wide sums over up to 255 values."""
+    pieces = -(-sizes // 255)
+    group = np.repeat(np.arange(len(sizes)), pieces)
+    inner = np.arange(len(group)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    start = (np.cumsum(sizes) - sizes)[group] + 255 * inner
+    lanes = h.view(np.uint8).reshape(-1, 8)
+    out = np.empty((len(sizes), 64), np.int64)
+    begin = np.cumsum(pieces) - pieces
+    for k in range(8):
+        part = np.add.reduceat(SPREAD[lanes[:, k]], start).view(np.uint8).reshape(-1, 8)
+        out[:, 8 * k : 8 * k + 8] = np.add.reduceat(part, begin, axis=0, dtype=np.int64)
+    return out
+
+
 def fingerprints(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     """The 64-bit fingerprint of each text; a text without words has 0."""
     n = len(off) - 1
@@ -98,8 +117,7 @@ def fingerprints(data: np.ndarray, off: np.ndarray) -> np.ndarray:
             h[at] = [xxhash.xxh64_intdigest(buf[b : b + one].tobytes(), SEED) for b in begin[at]]
     has = np.flatnonzero(count)
     shingles = np.bincount(doc[head], minlength=n)[has]
-    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    ones = np.add.reduceat(bits, np.cumsum(shingles) - shingles, axis=0, dtype=np.int32)
+    ones = bit_counts(h, shingles)
     out[has] = np.packbits(2 * ones > shingles[:, None], axis=1, bitorder="little").view("<u8").ravel()
     return out
 
