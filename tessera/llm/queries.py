@@ -12,6 +12,7 @@ from tessera.llm.pieces import Pieces, encode_pieces
 from tessera.llm.quality import judge_quality
 from tessera.llm.sharding import histogram_shards
 from tessera.llm.simhash import hex_print, near_duplicates
+from tessera.llm.suffixes import remove_repeats
 from tessera.llm.urlrules import judge_urls, rules_frame
 
 
@@ -43,6 +44,10 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
@@ -55,6 +60,7 @@ QUERIES = {
     "op6_sharding": op6_sharding,
     "op7_url_filters": op7_url_filters,
     "op8_media_columns": op8_media_columns,
+    "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_language_id": op10_language_id,
 }
 
