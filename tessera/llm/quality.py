@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SliceHash, chunks, crc_mod, words
+from tessera.llm.common import SliceHash, chunks, crc_mod, whole, words
 
 #: Labelled rows that the fit takes at most (expected number of a hash-chosen sample).
 TRAIN_ROWS = 20_000
@@ -202,6 +202,18 @@ def score_quality(docs: DataFrame, model: Trees, id_col: str = "doc_id", text_co
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], F.col("__score").alias("score"))
 
 
+def keep_good(docs: DataFrame, model: Trees, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows that the model does not reject, all columns as they were."""
+
+    def run(batches):
+        for batch in batches:
+            for part, data, off in chunks(batch, "text"):
+                yield part.select(["doc"]).filter(pa.array(model.score(statistics(data, off)) >= threshold))
+
+    rows = docs.select(whole(docs).alias("doc"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, rows.select("doc").schema).select("doc.*")
+
+
 def contract_model(docs: DataFrame, labels: DataFrame) -> Trees:
     """Learns only from ids whose crc32 modulo 5 is not 0."""
     return fit_quality(docs, labels.where(crc_mod("doc_id", 5) != 0))

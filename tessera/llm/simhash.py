@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch_rows, chunks, cut, drop, ranges, words
+from tessera.llm.common import batch_rows, chunks, cut, drop, ranges, whole, words
 from tessera.llm.components import components
 
 SHINGLE, BITS, MOST = 3, 64, 3
@@ -230,6 +230,32 @@ def link_edges(prints: DataFrame) -> DataFrame:
     return kept.mapInArrow(_pairs, "a long, b long")
 
 
+def classes(prints: DataFrame, least) -> DataFrame:
+    """(fp, one) for every fingerprint: `least` (an aggregate of prints) over its component."""
+    with batch_rows(prints.sparkSession, 50_000):
+        nodes = cut(prints.groupBy("fp").agg(least.alias("rep")), "nodes")
+        edges = cut(link_edges(nodes.select("fp")), "links")
+    labels = components(edges)
+    drop(edges)
+    named = nodes.join(labels, nodes["fp"] == labels["node"], "left").select("fp", "rep", F.coalesce("label", "fp").alias("label"))
+    return named.join(named.groupBy("label").agg(F.min("rep").alias("one")), "label").select("fp", "one")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of every component, that of the smallest id (of one id, the smallest hash of a text), as it was."""
+    rows = docs.select(whole(docs).alias("doc"), F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash")).alias("key"), F.col(text_col).alias("text"))
+    prints = cut(fingerprint_documents(rows, "key"), "fingerprints")
+    chosen = classes(prints, F.min("id")).select(F.col("one").alias("key")).distinct()
+    copies = prints.groupBy(F.col("id").alias("key")).agg(F.count("*").alias("n"))
+    chosen = cut(chosen.join(copies, "key").select("key.id", "key.hash", "n"), "chosen")
+    near = (rows["key.id"].eqNullSafe(chosen["id"])) & (rows["key.hash"] == chosen["hash"])
+    found = rows.join(chosen, near).select("doc", "id", "hash", "n")
+    if chosen.where("n > 1").isEmpty():
+        return found.select("doc.*")
+    repeated = found.where("n > 1").groupBy("id", "hash").agg(F.first("doc").alias("doc"))
+    return found.where("n = 1").select("doc").unionByName(repeated.select("doc")).select("doc.*")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, fp and component_id (the smallest id reachable by links of at most 3 differing bits) of every row.
 
@@ -237,17 +263,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are one node, so groups of copies cost one row after a map-side combine. Null ids are kept; a component of
     null ids only has a null component_id. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
     prints = cut(fingerprint_documents(docs, id_col, text_col), "fingerprints")
-    with batch_rows(spark, 50_000):
-        nodes = cut(prints.groupBy("fp").agg(F.min("id").alias("rep")), "nodes")
-        edges = cut(link_edges(nodes.select("fp")), "links")
-    labels = components(edges)
-    drop(edges)
-    named = nodes.join(labels, nodes["fp"] == labels["node"], "left").select("fp", "rep", F.coalesce("label", "fp").alias("label"))
-    least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    found = cut(named.join(least, "label").select("fp", "component_id"), "classes")
-    return prints.join(found, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    found = cut(classes(prints, F.min("id")), "classes")
+    return prints.join(found, "fp").select(F.col("id").alias(id_col), "fp", F.col("one").alias("component_id"))
 
 
 def hex_print(fp):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SliceHash, batch_rows, chunks, cut, drop, ranges, text_view
+from tessera.llm.common import SliceHash, batch_rows, chunks, cut, drop, ranges, text_view, whole
 
 MATCH = 400
 CONTEXT = 256
@@ -284,7 +284,7 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def _cut_out(kind: str, with_text: bool):
+def _cut_out(kind: str, doc: str, with_text: bool):
     def run(batches):
         for batch in batches:
             for part, data, off in chunks(batch, "text"):
@@ -298,7 +298,7 @@ def _cut_out(kind: str, with_text: bool):
                         else:
                             pieces[-1][1] = max(pieces[-1][1], s[1])
                         last = pieces[-1][1]
-                    kept, whole = [], []
+                    kept, chars = [], []
                     for a, b in pieces:
                         kept.append(text[at:a])
                         n += b - a
@@ -311,19 +311,19 @@ def _cut_out(kind: str, with_text: bool):
                                 a -= 1
                             while b < len(text) and text[b] & 0xC0 == 0x80:
                                 b += 1
-                            whole.append(text[at:a])
+                            chars.append(text[at:a])
                             at = max(at, b)
-                        whole = b"".join([*whole, text[at:]]).decode()
-                    for k, v in zip(out, (len(text), n, len(pieces), hashlib.sha256(kept).hexdigest(), whole if with_text else None), strict=True):
+                        chars = b"".join([*chars, text[at:]]).decode()
+                    for k, v in zip(out, (len(text), n, len(pieces), hashlib.sha256(kept).hexdigest(), chars if with_text else None), strict=True):
                         out[k].append(v)
                 types = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.string()}
-                yield pa.record_batch({"id": part.column("id"), **{k: pa.array(v, types[k]) for k, v in out.items()}})
+                yield pa.record_batch({"id": part.column("id"), "doc": part.column("doc"), **{k: pa.array(v, types[k]) for k, v in out.items()}})
 
-    return run, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
+    return run, f"id {kind}, doc {doc}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """id, n_bytes, n_removed, n_spans, kept_sha256 and (with_text) the kept text of every row.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """id, n_bytes, n_removed, n_spans, kept_sha256 and, with carry, the kept text and `doc`, all columns of the row.
 
     Whole texts as UTF-8 bytes; null is empty. Rows are told apart by 80 bits of hashes of id and text; repeated rows
     with one id and text share their result, and repeat each other's strings. The kept text loses whole characters
@@ -332,7 +332,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(F.col(id_col), text).alias("row"), (F.xxhash64(text) % 65536).bitwiseAND(F.lit(65535)).alias("tag"))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), (whole(docs) if carry else F.lit(0)).alias("doc"), F.xxhash64(F.col(id_col), text).alias("row"), (F.xxhash64(text) % 65536).bitwiseAND(F.lit(65535)).alias("tag"))
     found = cut(rows.select("row", "tag", "text").mapInArrow(_find, "row long, pos long, ctx long, block long"), "anchors")
     twice = found.groupBy("ctx").agg(F.count("*").alias("n"), F.min("block").alias("lo"), F.max("block").alias("hi")).where("n > 1")
     able = cut(found.join(twice.select("ctx", (F.col("lo") != F.col("hi")).alias("mixed")), "ctx"), "candidates")
@@ -340,9 +340,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     release(spark)
     classes = cut(able.groupBy("ctx", "block").agg(F.count("*").alias("copies"), F.min(F.struct("row", "pos")).alias("one"), F.first("mixed").alias("mixed")), "blocks")
     again = classes.where("copies > 1").select("ctx", "block")
-    whole = able.join(again, ["ctx", "block"], "left_semi").select("row", "pos")
+    full = able.join(again, ["ctx", "block"], "left_semi").select("row", "pos")
     first = F.shiftright("pos", 16).bitwiseAND(F.lit(0x7FFFFFFF))
-    whole = whole.select("row", F.shiftright("pos", 47).alias("tag"), first.alias("start"), (first + F.col("pos").bitwiseAND(F.lit(0xFF)) + MATCH).alias("end"))
+    full = full.select("row", F.shiftright("pos", 47).alias("tag"), first.alias("start"), (first + F.col("pos").bitwiseAND(F.lit(0xFF)) + MATCH).alias("end"))
     mixed = classes.where("mixed")
     sizes = mixed.groupBy("ctx").agg(F.count("*").alias("blocks"))
     n = mixed.count()
@@ -351,9 +351,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     entries = mixed.join(sizes, "ctx").select(F.col("one.row").alias("row"), F.shiftright("one.pos", 47).alias("tag"), entry.alias("e")).groupBy("row", "tag").agg(F.collect_list("e").alias("entries"))
     made = rows.select("row", "tag", "text").join(entries, ["row", "tag"]).select("row", "text", "entries").mapInArrow(_runs(parts), "task long, run binary")
     with batch_rows(spark, 64):
-        spans = cut(made.groupBy("task").applyInArrow(_merge, "row long, tag long, start long, end long").unionByName(whole), "spans")
+        spans = cut(made.groupBy("task").applyInArrow(_merge, "row long, tag long, start long, end long").unionByName(full), "spans")
     release(spark)
     lists = spans.groupBy("row", "tag").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    run, schema = _cut_out(kind, with_text)
-    out = rows.join(lists, ["row", "tag"], "left").select("id", "text", "spans").mapInArrow(run, schema)
-    return out.withColumnRenamed("id", id_col) if with_text else out.drop("kept").withColumnRenamed("id", id_col)
+    run, schema = _cut_out(kind, rows.schema["doc"].dataType.simpleString(), carry)
+    out = rows.join(lists, ["row", "tag"], "left").select("id", "doc", "text", "spans").mapInArrow(run, schema)
+    return out.withColumnRenamed("id", id_col) if carry else out.drop("kept", "doc").withColumnRenamed("id", id_col)
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """All rows with what remains of their texts (empty if nothing does); a column of lengths is kept true."""
+    out = remove_repeats(docs, id_col, text_col, carry=True)
+    new = {text_col: F.col("kept")} | ({chars_col: F.length("kept").cast(docs.schema[chars_col].dataType)} if chars_col in docs.columns else {})
+    return out.select(*[new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
