@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.text import jaccard, normalized, token_set
+from tessera.functions.text import jaccard, tokens
 
 # Names and order of the feature vectors.
 SURFACE = (
@@ -24,9 +24,14 @@ def mean(a) -> Column:
     return F.coalesce(F.try_divide(total(a), F.size(a)), F.lit(0.0))
 
 
+def let(value, body) -> Column:
+    """body(value) with the value computed once: a lambda's variable is bound, an expression would be repeated."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def std(a) -> Column:
     """Population standard deviation; 0 of nothing."""
-    return F.sqrt(mean(F.transform(a, lambda x: F.pow(x - mean(a), F.lit(2)))))
+    return let(a, lambda v: let(mean(v), lambda m: F.sqrt(mean(F.transform(v, lambda x: F.pow(x - m, F.lit(2)))))))
 
 
 def median(a) -> Column:
@@ -36,51 +41,89 @@ def median(a) -> Column:
 
 def duplicate_fraction(a) -> Column:
     """Equal unordered pairs over all pairs, from the counts of the distinct values."""
-    n = F.size(a).cast("double")
-    pairs = total(F.transform(F.array_distinct(a), lambda v: F.size(F.filter(a, lambda x: x == v)) * (F.size(F.filter(a, lambda x: x == v)) - 1) / 2))
-    return F.coalesce(F.try_divide(pairs, n * (n - 1) / 2), F.lit(0.0))
+    times = lambda v, x: F.size(F.filter(v, lambda y: y == x))
+    pairs = lambda v: total(F.transform(F.array_distinct(v), lambda x: let(times(v, x), lambda k: k * (k - 1) / 2)))
+    return let(a, lambda v: F.coalesce(F.try_divide(pairs(v), F.size(v) * (F.size(v) - 1) / 2), F.lit(0.0)))
 
 
 def mean_pairwise_jaccard(sets) -> Column:
-    n = F.size(sets)
-    pairs = F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), lambda i: F.transform(F.slice(sets, i + 2, F.greatest(n - 1 - i, F.lit(0))), lambda s: jaccard(F.get(sets, i), s))))
-    return F.when(n < 2, 0.0).otherwise(mean(pairs))
+    def of(v):
+        n = F.size(v)
+        pairs = F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), lambda i: let(F.get(v, i), lambda x: F.transform(F.slice(v, i + 2, F.greatest(n - 1 - i, F.lit(0))), lambda y: jaccard(x, y)))))
+        return F.when(n < 2, 0.0).otherwise(mean(pairs))
+
+    return let(sets, of)
 
 
 def slope(a) -> Column:
     """Least-squares slope of values over their places."""
-    n = F.size(a)
-    mid, avg = (n - 1) / 2.0, mean(a)
-    up = total(F.transform(a, lambda x, i: (i - mid) * (x - avg)))
-    return F.coalesce(F.try_divide(up, total(F.transform(a, lambda x, i: F.pow(i - mid, F.lit(2))))), F.lit(0.0))
+    def of(v, avg):
+        mid = (F.size(v) - 1) / 2.0
+        up = total(F.transform(v, lambda x, i: (i - mid) * (x - avg)))
+        return F.coalesce(F.try_divide(up, total(F.transform(v, lambda x, i: F.pow(i - mid, F.lit(2))))), F.lit(0.0))
 
+    return let(a, lambda v: let(mean(v), lambda avg: of(v, avg)))
 
-def surface_features(paragraphs) -> Column:
-    """The 18 numbers of SURFACE, as an array; word counts are of distinct words."""
-    whole = F.transform(paragraphs, lambda p: F.concat_ws(" ", p["title"], p["paragraph_text"]))
-    texts, titles = F.transform(paragraphs, lambda p: p["paragraph_text"]), F.transform(paragraphs, lambda p: p["title"])
-    chars = F.transform(whole, lambda x: F.length(x).cast("double"))
-    words = F.transform(whole, lambda x: F.size(token_set(x)).cast("double"))
-    title_words = F.transform(titles, lambda x: F.size(token_set(x)).cast("double"))
-    every = F.array_join(whole, "")
-    size = F.greatest(F.length(every), F.lit(1))
-    count = lambda pattern: F.regexp_count(every, F.lit(pattern)) / size
+
+def _hashes(words) -> Column:
+    return F.array_distinct(F.transform(words, lambda t: F.xxhash64(t)))
+
+
+def measured(p) -> Column:
+    """What the features need of a paragraph: sets of 64-bit word hashes, hashes of the normalized texts, counts."""
+    def of(title, body, whole):
+        count = lambda pattern: F.regexp_count(whole, F.lit(pattern))
+        words = tokens(whole)
+        return F.struct(
+            F.length(whole).cast("double").alias("chars"), F.size(words).alias("count"), _hashes(words).alias("words"), _hashes(title).alias("title_words"), _hashes(body).alias("text_words"),
+            F.xxhash64(F.array_join(title, " ")).alias("title"), F.xxhash64(F.array_join(body, " ")).alias("text"), count(r"[\p{Nd}²³¹⁰-⁹₀-₉]").alias("digits"), count(r"\p{Punct}").alias("puncts"),
+        )
+
+    return let(tokens(p["title"]), lambda t: let(tokens(p["paragraph_text"]), lambda b: let(F.concat_ws(" ", p["title"], p["paragraph_text"]), lambda w: of(t, b, w))))
+
+
+def measure_all(paragraphs) -> Column:
+    return F.transform(paragraphs, measured)
+
+
+def _size_of(field: str):
+    return lambda p: F.size(p[field]).cast("double")
+
+
+def surface_of(m) -> Column:
+    """The 18 numbers of SURFACE of measured paragraphs; word counts are of distinct words."""
+    chars = F.transform(m, lambda p: p["chars"])
+    words, titles = (F.transform(m, _size_of(f)) for f in ("words", "title_words"))
+    size = F.greatest(total(chars), F.lit(1.0))
+    part = lambda f: total(F.transform(m, lambda p: p[f])) / size
     return F.array(
-        F.size(paragraphs).cast("double"), total(chars), mean(chars), std(chars), F.coalesce(F.array_min(chars), F.lit(0.0)), F.coalesce(F.array_max(chars), F.lit(0.0)),
-        total(words), mean(words), std(words), mean(title_words), std(title_words), duplicate_fraction(F.transform(titles, normalized)), duplicate_fraction(F.transform(texts, normalized)),
-        mean_pairwise_jaccard(F.transform(titles, token_set)), mean_pairwise_jaccard(F.transform(texts, token_set)), count(r"[\p{Nd}²³¹⁰-⁹₀-₉]"), count(r"\p{Punct}"), slope(chars),
+        F.size(m).cast("double"), total(chars), mean(chars), std(chars), F.coalesce(F.array_min(chars), F.lit(0.0)), F.coalesce(F.array_max(chars), F.lit(0.0)),
+        total(words), mean(words), std(words), mean(titles), std(titles), duplicate_fraction(F.transform(m, lambda p: p["title"])), duplicate_fraction(F.transform(m, lambda p: p["text"])),
+        mean_pairwise_jaccard(F.transform(m, lambda p: p["title_words"])), mean_pairwise_jaccard(F.transform(m, lambda p: p["text_words"])), part("digits"), part("puncts"), slope(chars),
     )
 
 
+def extras_of(question, m) -> Column:
+    """The five numbers that SEMANTIC has beyond SURFACE, of a set of word hashes and measured paragraphs."""
+    def of(over, titles):
+        return F.array(
+            mean(over), F.coalesce(F.array_max(over), F.lit(0.0)), total(F.slice(F.sort_array(over, asc=False), 1, 2)), F.coalesce(F.array_max(titles), F.lit(0.0)),
+            F.size(F.filter(over, lambda x: x > 0)) / F.greatest(F.size(over), F.lit(1)),
+        )
+
+    return let(F.transform(m, lambda p: jaccard(question, p["words"])), lambda o: let(F.transform(m, lambda p: jaccard(question, p["title_words"])), lambda t: of(o, t)))
+
+
+def question_hashes(question) -> Column:
+    return _hashes(tokens(question))
+
+
+def surface_features(paragraphs) -> Column:
+    return let(measure_all(paragraphs), surface_of)
+
+
 def semantic_extras(question, paragraphs) -> Column:
-    """The five numbers that SEMANTIC has beyond SURFACE."""
-    q = token_set(question)
-    over = F.transform(paragraphs, lambda p: jaccard(q, token_set(F.concat_ws(" ", p["title"], p["paragraph_text"]))))
-    titles = F.transform(paragraphs, lambda p: jaccard(q, token_set(p["title"])))
-    return F.array(
-        mean(over), F.coalesce(F.array_max(over), F.lit(0.0)), total(F.slice(F.sort_array(over, asc=False), 1, 2)), F.coalesce(F.array_max(titles), F.lit(0.0)),
-        F.size(F.filter(over, lambda x: x > 0)) / F.greatest(F.size(over), F.lit(1)),
-    )
+    return let(question_hashes(question), lambda q: let(measure_all(paragraphs), lambda m: extras_of(q, m)))
 
 
 def semantic_features(question, paragraphs) -> Column:

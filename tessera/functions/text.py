@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values.
 WORD = r"[\p{L}\p{N}_]+"
@@ -35,7 +36,7 @@ def tokens(x) -> Column:
     return F.regexp_extract_all(F.replace(F.lower(x), F.lit("ß"), F.lit("ss")), F.lit(WORD), F.lit(0))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def exact_tokens(x: pd.Series) -> pd.Series:
     """The same for any text: compatibility-normalized and case-folded."""
     return x.map(lambda s: None if s is None else re.findall(r"\w+", unicodedata.normalize("NFKC", s).casefold()))

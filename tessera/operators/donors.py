@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.digest import joined_sha, mod_pair, sha
-from tessera.functions.stats import feature_distance, length_ratio, mean, median, semantic_extras, surface_features
-from tessera.functions.text import forbidden_phrases, jaccard, leaks, normalized, token_set, tokens
+from tessera.functions.stats import extras_of, feature_distance, length_ratio, let, mean, measure_all, measured, median, question_hashes, surface_of
+from tessera.functions.text import forbidden_phrases, jaccard, leaks, tokens
 from tessera.operators.ranking import global_rank, top
+from tessera.plans.lineage import cut
 
 # Weights and sizes of the matching.
 W_DUPLICATE, W_QUESTION, W_TITLE, W_LENGTH, W_ALIKE, W_COHERENCE, W_LOCAL = 50.0, 10.0, 6.0, 2.0, 0.5, 3.0, 0.01
@@ -31,8 +32,13 @@ def _content(p) -> Column:
     return F.concat_ws(" ", p["title"], p["paragraph_text"])
 
 
-def _count(words) -> Column:
-    return F.greatest(F.lit(1), F.size(words))
+def _count(m) -> Column:
+    return F.greatest(F.lit(1), m["count"])
+
+
+def prepare(orbits: DataFrame) -> DataFrame:
+    """orbits with their paragraphs measured (m) and the question's words (q), written once: ranking reads numbers only."""
+    return cut(orbits.withColumn("m", measure_all("paragraphs")).withColumn("q", question_hashes(F.col("question"))), "orbits")
 
 
 def donor_pool(orbits: DataFrame) -> DataFrame:
@@ -44,8 +50,8 @@ def donor_pool(orbits: DataFrame) -> DataFrame:
     rows = rows.withColumn("text_hash", sha(F.col("p.paragraph_text"))).join(used, "text_hash", "left_anti")
     rows = rows.select(
         "split", F.col("orbit_id").alias("donor_orbit"), sha(F.col("id")).alias("donor_pair_sha"), F.col("p.idx").alias("donor_slot"), F.col("p").alias("donor"), F.col("text_hash").alias("donor_hash"),
-        tokens(_content(F.col("p"))).alias("donor_words"), _count(tokens(_content(F.col("p")))).alias("donor_count"), joined_sha(F.col("orbit_id"), F.col("p.idx"), F.col("text_hash")).alias("donor_key"),
-    )
+        tokens(_content(F.col("p"))).alias("donor_words"), measured(F.col("p")).alias("donor_m"), joined_sha(F.col("orbit_id"), F.col("p.idx"), F.col("text_hash")).alias("donor_key"),
+    ).withColumn("donor_count", _count(F.col("donor_m")))
     return global_rank(rows, ["donor_count", "donor_key"], group="split", name="position")
 
 
@@ -79,42 +85,36 @@ def candidate_positions(count, bounds, ratio: float, salt) -> Column:
     return F.when(width <= 0, F.array().cast("array<bigint>")).otherwise(F.array_sort(F.array_distinct(F.concat(near, drawn))))
 
 
-def _profile(title, text, others, question) -> Column:
-    """What a paragraph is to its 19 neighbours and the question."""
-    n_title, n_text = normalized(title), normalized(text)
-    rate = lambda f, v: F.size(F.filter(others, lambda o: normalized(o[f]) == v)) / F.greatest(F.lit(1), F.size(others))
-    q = token_set(question)
-    return F.struct(
-        rate("title", n_title).alias("title_dup"),
-        rate("paragraph_text", n_text).alias("text_dup"),
-        jaccard(q, token_set(F.concat_ws(" ", title, text))).alias("question"),
-        jaccard(q, token_set(title)).alias("question_title"),
-    )
+def _profile(m, others, question) -> Column:
+    """What a measured paragraph is to its neighbours and the question."""
+    rate = lambda f: F.size(F.filter(others, lambda o: o[f] == m[f])) / F.greatest(F.lit(1), F.size(others))
+    return F.struct(rate("title").alias("title_dup"), rate("text").alias("text_dup"), jaccard(question, m["words"]).alias("question"), jaccard(question, m["title_words"]).alias("question_title"))
 
 
-def _coherence(title, text, others) -> Column:
-    one = lambda f, v: mean(F.transform(others, lambda o: jaccard(token_set(v), token_set(o[f]))))
-    return F.struct(one("title", title).alias("title"), one("paragraph_text", text).alias("text"))
+def _coherence(m, others) -> Column:
+    one = lambda f: mean(F.transform(others, lambda o: jaccard(m[f], o[f])))
+    return F.struct(one("title_words").alias("title"), one("text_words").alias("text"))
 
 
 def slots(orbits: DataFrame, m: Matching) -> DataFrame:
-    """Every non-support slot with its profile and its place in the order in which slots are tried."""
-    rows = orbits.withColumn("middle", median(F.transform("paragraphs", lambda p: _count(tokens(_content(p))))))
-    rows = rows.withColumn("p", F.explode("paragraphs")).where(~F.array_contains("support", F.col("p.idx")))
-    rows = rows.withColumn("slot", F.col("p.idx")).withColumn("others", F.filter("paragraphs", lambda o: o["idx"] != F.col("slot")))
-    rows = rows.withColumn("old", _profile(F.col("p.title"), F.col("p.paragraph_text"), F.col("others"), F.col("question")))
-    rows = rows.withColumn("old_coherence", _coherence(F.col("p.title"), F.col("p.paragraph_text"), F.col("others"))).withColumn("count", _count(tokens(_content(F.col("p")))))
+    """Every non-support slot of prepared orbits with its profile and its place in the order in which slots are tried."""
+    rows = orbits.withColumn("middle", median(F.transform("m", _count)))
+    rows = rows.select("*", F.posexplode("m").alias("place", "old_m")).where(~F.array_contains("support", F.col("place"))).withColumnRenamed("place", "slot")
+    rows = rows.withColumn("old_hash", sha(F.get("paragraphs", F.col("slot"))["paragraph_text"]))
+    others = F.filter("m", lambda o, i: i != F.col("slot"))
+    both = let(others, lambda o: F.struct(_profile(F.col("old_m"), o, F.col("q")).alias("old"), _coherence(F.col("old_m"), o).alias("coherence")))
+    rows = rows.withColumn("both", both).select("*", F.col("both.old").alias("old"), F.col("both.coherence").alias("old_coherence"), _count(F.col("old_m")).alias("count")).drop("both")
     rank = F.struct(
         F.round(F.col("old.title_dup") + F.col("old.text_dup"), 12).alias("a"), F.round("old.question", 12).alias("b"), F.round(F.col("old_coherence.title") + F.col("old_coherence.text"), 12).alias("c"),
         F.round(F.abs(F.col("count") - F.col("middle")) / F.greatest(F.lit(1.0), F.col("middle")), 12).alias("d"), joined_sha(m.seed, F.col("orbit_id"), "slot", F.col("slot")).alias("e"),
     )
-    return rows.withColumn("slot_rank", rank)
+    return cut(rows.withColumn("slot_rank", rank).drop("paragraphs", "question", "id", "middle"), "slots")
 
 
 def proposals(orbits: DataFrame, pool: DataFrame, m: Matching) -> DataFrame:
     """Up to 8 ranked donors for each of the first two slots of an orbit that have any.
 
-    orbits: orbit_id, split, question, paragraphs, support, phrases (token lists that no donor may hold)."""
+    orbits: prepared, with phrases (token lists that no donor may hold)."""
     lengths = pool.groupBy("split", "donor_count").agg(F.count("*").alias("n"))
     arrays = lengths.groupBy("split").agg(F.array_sort(F.collect_list(F.struct(F.col("donor_count").alias("count"), "n"))).alias("l"))
     upto = F.transform("l", lambda b, i: F.struct(b["count"].alias("count"), F.aggregate(F.slice("l", 1, i + 1), F.lit(0).cast("long"), lambda s, x: s + x["n"]).alias("upto")))
@@ -122,21 +122,22 @@ def proposals(orbits: DataFrame, pool: DataFrame, m: Matching) -> DataFrame:
     salt = F.concat_ws("\n", F.lit(m.seed), F.col("orbit_id"), F.col("slot").cast("string"))
     met = tried.withColumn("position", F.explode(candidate_positions(F.col("count"), F.col("bounds"), m.ratio, salt))).drop("bounds").join(pool, ["split", "position"])
     ratio = length_ratio(F.col("count"), F.col("donor_count"))
-    met = met.where((F.col("donor_orbit") != F.col("orbit_id")) & (F.col("donor_hash") != sha(F.col("p.paragraph_text"))) & (ratio <= m.ratio + 1e-12) & ~leaks(F.col("donor_words"), F.col("phrases")))
-    met = met.withColumn("new", _profile(F.col("donor.title"), F.col("donor.paragraph_text"), F.col("others"), F.col("question")))
+    met = met.where((F.col("donor_orbit") != F.col("orbit_id")) & (F.col("donor_hash") != F.col("old_hash")) & (ratio <= m.ratio + 1e-12) & ~leaks(F.col("donor_words"), F.col("phrases")))
+    others = F.filter("m", lambda o, i: i != F.col("slot"))
+    met = met.withColumn("new", let(others, lambda o: _profile(F.col("donor_m"), o, F.col("q"))))
     gap = lambda f: F.abs(F.col(f"old.{f}") - F.col(f"new.{f}"))
     met = met.withColumn(
         "gaps",
         F.struct(
             (gap("title_dup") + gap("text_dup")).alias("duplicate_delta"), gap("question").alias("question_overlap_delta"), gap("question_title").alias("title_question_overlap_delta"),
-            ratio.alias("length_ratio"), jaccard(F.array_distinct(tokens(_content(F.col("p")))), F.array_distinct("donor_words")).alias("source_token_jaccard"),
+            ratio.alias("length_ratio"), jaccard(F.col("old_m.words"), F.col("donor_m.words")).alias("source_token_jaccard"),
         ),
     )
     g = lambda f: F.col(f"gaps.{f}")
     cheap = W_DUPLICATE * g("duplicate_delta") + W_QUESTION * g("question_overlap_delta") + W_TITLE * g("title_question_overlap_delta") + W_LENGTH * F.abs(F.log(F.col("donor_count") / F.col("count"))) - W_ALIKE * g("source_token_jaccard")
     met = met.withColumn("cheap", F.round(cheap, 12)).withColumn("tie", joined_sha(m.seed, F.col("orbit_id"), F.col("slot"), F.col("donor_key")))
-    short = top(met, CHEAP, [F.col("cheap"), F.col("tie")], "orbit_id", "slot")
-    short = short.withColumn("coherence", _coherence(F.col("donor.title"), F.col("donor.paragraph_text"), F.col("others")))
+    short = top(met.drop("donor_words", "phrases", "old_hash", "new", "old"), CHEAP, [F.col("cheap"), F.col("tie")], "orbit_id", "slot")
+    short = short.withColumn("coherence", let(others, lambda o: _coherence(F.col("donor_m"), o)))
     apart = F.abs(F.col("old_coherence.title") - F.col("coherence.title")) + F.abs(F.col("old_coherence.text") - F.col("coherence.text"))
     short = short.withColumn("coherence_delta", apart).withColumn("cost", F.round(F.col("cheap") + W_COHERENCE * F.col("coherence_delta"), 12))
     best = top(short, KEPT, [F.col("cost"), F.col("tie")], "orbit_id", "slot")
@@ -154,20 +155,20 @@ def overwrite(paragraphs, changes) -> Column:
 
 
 def distractors(orbits: DataFrame, pool: DataFrame, m: Matching) -> DataFrame:
-    """orbit_id, paragraphs with exactly two replaced, and the two donors with their diagnostics, in slot order.
+    """Of prepared orbits: orbit_id, paragraphs with exactly two replaced, and the two donors with their diagnostics, in slot order.
 
     Of the pairs of proposals for the two slots (other slots, other donors) the 8 of least local cost are rescored by
     the distance of the feature vectors. An orbit without a pair gives no row."""
-    offer = F.struct("slot", "slot_rank", "cost", "tie", "donor_key", F.col("donor.title").alias("title"), F.col("donor.paragraph_text").alias("paragraph_text"), "donor_orbit", "donor_pair_sha", "donor_slot", "donor_hash", "gaps", "coherence_delta", F.col("split").alias("donor_split"))
+    offer = F.struct("slot", "slot_rank", "cost", "tie", "donor_key", F.col("donor.title").alias("title"), F.col("donor.paragraph_text").alias("paragraph_text"), F.col("donor_m").alias("m"), "donor_orbit", "donor_pair_sha", "donor_slot", "donor_hash", "gaps", "coherence_delta", F.col("split").alias("donor_split"))
     made = proposals(orbits, pool, m).groupBy("orbit_id").agg(F.array_sort(F.collect_list(F.struct(F.col("slot_rank").alias("k"), F.col("cost").alias("c"), F.col("tie").alias("t"), offer.alias("o")))).alias("offers"))
     made = made.withColumn("offers", F.transform("offers", lambda x: x["o"]))  # at most 2 x 8
     pairs = F.flatten(F.transform("offers", lambda a, i: F.transform(F.filter(F.slice("offers", i + 2, F.size("offers")), lambda b: (b["slot"] != a["slot"]) & (b["donor_key"] != a["donor_key"])), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     rows = made.select("orbit_id", F.explode(pairs).alias("pair")).withColumn("local", F.round(F.col("pair.a.cost") + F.col("pair.b.cost"), 12))
     name = lambda s: F.concat_ws(":", F.col(f"pair.{s}.slot").cast("string"), F.col(f"pair.{s}.donor_key"))
     rows = top(rows, PAIRS, [F.col("local"), joined_sha(m.seed, F.col("orbit_id"), name("a"), name("b"))], "orbit_id")
-    rows = rows.join(orbits.select("orbit_id", "question", "paragraphs"), "orbit_id")
-    rows = rows.withColumn("changed", overwrite(F.col("paragraphs"), F.array("pair.a", "pair.b")))
-    apart = feature_distance(surface_features(F.col("paragraphs")), surface_features(F.col("changed"))) + feature_distance(semantic_extras(F.col("question"), F.col("paragraphs")), semantic_extras(F.col("question"), F.col("changed")))
+    rows = rows.join(orbits.select("orbit_id", "q", "m", "paragraphs"), "orbit_id")
+    new = F.transform("m", lambda x, i: F.when(i == F.col("pair.a.slot"), F.col("pair.a.m")).when(i == F.col("pair.b.slot"), F.col("pair.b.m")).otherwise(x))
+    apart = let(new, lambda n: feature_distance(surface_of(F.col("m")), surface_of(n)) + feature_distance(extras_of(F.col("q"), F.col("m")), extras_of(F.col("q"), n)))
     rows = rows.withColumn("score", F.round(apart + W_LOCAL * F.col("local"), 12))
     rows = top(rows, 1, [F.col("score"), joined_sha(m.seed, F.col("orbit_id"), F.col("pair.a.donor_key"), F.col("pair.b.donor_key"))], "orbit_id")
 
@@ -179,7 +180,7 @@ def distractors(orbits: DataFrame, pool: DataFrame, m: Matching) -> DataFrame:
         return F.struct(o["slot"].alias("target_slot"), o["donor_split"].alias("source_split"), o["donor_orbit"].alias("source_orbit_id"), o["donor_pair_sha"].alias("source_pair_id_sha256"), o["donor_slot"].alias("source_slot"), o["donor_hash"].alias("source_text_sha256"), o["cost"].alias("local_cost"), diagnostics.alias("matching_diagnostics"))
 
     donors = F.array_sort(F.transform(F.array("pair.a", "pair.b"), entry), lambda x, y: x["target_slot"] - y["target_slot"])
-    return rows.select("orbit_id", F.col("changed").alias("paragraphs"), donors.alias("donors"), F.col("score").alias("joint_cost"))
+    return rows.select("orbit_id", overwrite(F.col("paragraphs"), F.array("pair.a", "pair.b")).alias("paragraphs"), donors.alias("donors"), F.col("score").alias("joint_cost"))
 
 
 def phrases_of(complete, missing) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.stats import semantic_features, surface_features
 from tessera.operators.components import component_table, key_components
-from tessera.operators.donors import Matching, distractors, donor_pool, phrases_of
+from tessera.operators.donors import Matching, distractors, donor_pool, phrases_of, prepare
 from tessera.operators.pairing import alias_policy, eligibility, header, histogram, orbits, pair_rows, reason_counts
 from tessera.operators.probes import auc, oof_scores
 from tessera.operators.records import donor_stats, invariants, records
@@ -53,6 +53,7 @@ def build_dataset(source: DataFrame, config: BuildConfig) -> Build:
     chosen = placed.select("component_id", "split", F.explode("members").alias("orbit_id"))
     selected = cut(eligible.join(chosen, "orbit_id"), "selected")
     work = selected.select("id", "orbit_id", "split", F.col("complete.question").alias("question"), F.col("complete.paragraphs").alias("paragraphs"), F.col("complete.support").alias("support"), phrases_of(F.col("complete"), F.col("missing")).alias("phrases"))
+    work = prepare(work)
     matching = Matching(config.seed, config.ratio)
     changed = cut(distractors(work, donor_pool(work), matching), "distractors")
     lost = selected.join(changed, "orbit_id", "left_anti").select("orbit_id").take(5)
