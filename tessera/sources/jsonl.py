@@ -100,9 +100,9 @@ def good_rows(rows: DataFrame) -> DataFrame:
     return rows.where(clear).drop("fault")
 
 
-def check_counts(rows: DataFrame, **expected: int) -> None:
+def check_counts(table: DataFrame, /, **expected: int) -> None:
     """Raises unless the table has the expected numbers: rows, and distinct values of named columns."""
-    got = rows.agg(F.count("*").alias("rows"), *[F.count_distinct(c).alias(c) for c in expected if c != "rows"]).first().asDict()
+    got = table.agg(F.count("*").alias("rows"), *[F.count_distinct(c).alias(c) for c in expected if c != "rows"]).first().asDict()
     if any(got[k] != v for k, v in expected.items()):
         raise ValueError(f"expected {expected}, found {got}")
 
