@@ -7,13 +7,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_OWN: list[str] = []  # this process's own folder, made only if the session names none
+
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder of spark.checkpoint.dir; a temporary one only where none is named."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not _OWN:
+            _OWN.append("file://" + tempfile.mkdtemp(prefix="tessera-"))
+        base = _OWN[0]
     return f"{base}/tessera/{name}-{uuid.uuid4().hex}"
 
 
