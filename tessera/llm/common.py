@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from contextlib import contextmanager
+import ctypes
+import sys
+import types
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tessera.plans.lineage import cut, drop, shared_path
+
+__all__ = ["cut", "drop", "shared_path"]
 
 #: Rows in one Arrow batch; whole texts travel in it, so it is far below Spark's own 10,000.
 BATCH_ROWS = 1000
-#: Text bytes that one numpy pass works on; bounds a worker's memory at any batch size.
-CHUNK_BYTES = 4 << 20
+#: Text bytes that one numpy pass works on; bounds a worker's memory at any batch size. A pass needs about 100 times
+#: as much, since most of its arrays have 8 bytes for each byte or word.
+CHUNK_BYTES = 1 << 20
+#: Where a pass has a large fixed cost.
+WIDE_CHUNK_BYTES = 2 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -41,30 +50,21 @@ def batch_rows(spark: SparkSession, n: int):
         spark.conf.set(key, before)
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that the cluster shares; a temporary one only where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base}/tessera/{name}-{uuid.uuid4().hex}"
+def worker_state() -> types.ModuleType:
+    """What a Python worker process keeps between tasks: a module, so that it is never sent along with a function."""
+    return sys.modules.setdefault("tessera_worker_state", types.ModuleType("tessera_worker_state"))
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """The rows written to the shared folder and read again: lineage ends there, and lost executors cost nothing."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.tessera_path = path  # plain attribute, for drop()
-    return out
+def lean(run):
+    """run, after which the worker gives its free memory back: idle workers otherwise keep what their largest chunk took."""
 
+    def task(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
 
-def drop(df: DataFrame) -> None:
-    """Delete the files behind a cut() table that nothing reads any more."""
-    spark, path = df.sparkSession, df.tessera_path
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return task
 
 
 def text_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -96,9 +96,20 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
 
 
-def whole(docs: DataFrame):
-    """All columns of a row as one, so that none can clash with an operator's own."""
-    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+def others(docs: DataFrame, text_col: str):
+    """All columns of a row but the text as one, so that none can clash with an operator's own."""
+    names = [c for c in docs.columns if c != text_col]
+    return F.struct(*([F.col(f"`{c}`") for c in names] or [F.lit(0).alias("none")]))
+
+
+def layout(rows: DataFrame, carried: list[str], ddl: str) -> T.StructType:
+    """The fields of rows that are carried through, whatever their inner names, then those of a DDL text."""
+    return T.StructType([T.StructField(c, rows.schema[c].dataType) for c in carried] + T.StructType.fromDDL(ddl).fields)
+
+
+def restored(rows: DataFrame, docs: DataFrame, text_col: str, **new) -> DataFrame:
+    """The columns of docs again from `doc` (others()) and `text`; `new` replaces some."""
+    return rows.select(*[new.get(c, F.col("text") if c == text_col else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
 
 
 def crc_mod(column, k: int):
@@ -109,17 +120,21 @@ def crc_mod(column, k: int):
 _RNG = np.random.default_rng(20240229)
 BYTE_CODE = _RNG.integers(1, 1 << 62, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
-_POWERS: dict[str, np.ndarray] = {}
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """_BASE ** i and its inverses modulo 2 ** 64, kept for the longest chunk so far."""
-    if len(_POWERS.get("up", ())) < n:
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            p = np.full(n, base, np.uint64)
-            p[:1] = 1
-            _POWERS[name] = np.multiply.accumulate(p)
-    return _POWERS["up"], _POWERS["down"]
+    """_BASE ** i and its inverses modulo 2 ** 64, kept for chunks of the usual size."""
+    kept = getattr(worker_state(), "powers", None)
+    if kept is not None and len(kept[0]) >= n:
+        return kept
+    made = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        p = np.full(max(n, CHUNK_BYTES), base, np.uint64)
+        p[:1] = 1
+        made.append(np.multiply.accumulate(p))
+    if n <= 2 * WIDE_CHUNK_BYTES:
+        worker_state().powers = tuple(made)
+    return tuple(made)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Index, SliceHash, chunks, cut, ranges, text_view, whole, words
+from tessera.llm.common import WIDE_CHUNK_BYTES, Index, SliceHash, chunks, cut, layout, lean, others, ranges, restored, text_view, words
 
 WINDOW = 13
 #: A document is contaminated if its hit words, times this, reach its words.
@@ -200,11 +200,11 @@ class Phrases:
 SPANS = "array<struct<word:int,end_word:int,start:int,end:int>>"
 
 
-def _scan(phrases: Phrases):
+def _scan(phrases: Phrases, carry: bool):
     def run(batches):
         index = Index(phrases.vocabulary)
         for batch in batches:
-            for part, data, off in chunks(batch, "text"):
+            for part, data, off in chunks(batch, "text", WIDE_CHUNK_BYTES):
                 n = len(off) - 1
                 count, start, end, place, item, size, doc = phrases.occurrences(data, off, index)
                 first = np.cumsum(count) - count
@@ -219,7 +219,7 @@ def _scan(phrases: Phrases):
                 pairs = np.unique(np.column_stack([doc, item]), axis=0) if len(doc) else np.empty((0, 2), np.int64)
                 names = pa.array([phrases.names[i] for i in pairs[:, 1]], pa.string())
                 lists = [pa.ListArray.from_arrays(pa.array(np.searchsorted(o, np.arange(n + 1)).astype(np.int32)), v) for o, v in ((own, spans), (pairs[:, 0], names))]
-                yield pa.record_batch({"uid": part.column("uid"), "id": part.column("id"), "doc": part.column("doc"), "n_words": pa.array(count.astype(np.int64)), "spans": lists[0], "items": lists[1]})
+                yield pa.record_batch({"uid": part.column("uid"), "id": part.column("id"), "doc": part.column("doc"), **{k: part.column(k) for k in ["text"][:carry]}, "n_words": pa.array(count.astype(np.int64)), "spans": lists[0], "items": lists[1]})
 
     return run
 
@@ -244,7 +244,7 @@ def _finish(batches):
             rows["spans"].append(one)
         kind = pa.list_(pa.struct([(k, pa.int32()) for k in ("word", "end_word", "start", "end")]))
         types = {"n_hit": pa.int64(), "n_items": pa.int64(), "items_sha256": pa.string(), "items": pa.list_(pa.string()), "spans": kind}
-        yield pa.record_batch({"id": batch.column("id"), "doc": batch.column("doc"), "n_words": batch.column("n_words"), **{k: pa.array(v, types[k]) for k, v in rows.items()}})
+        yield pa.record_batch({"id": batch.column("id"), "doc": batch.column("doc"), **{k: batch.column(k) for k in batch.schema.names if k == "text"}, "n_words": batch.column("n_words"), **{k: pa.array(v, types[k]) for k, v in rows.items()}})
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES, carry: bool = False) -> DataFrame:
@@ -253,23 +253,27 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     Each chunk of a partition is a shard with an index of its own, so documents are never shuffled. Items of up to
     block_bytes travel with the function; more are searched block by block and the spans of a row united. Null
     and wordless texts have no words and are clean; items that are null or wordless have no window; repeated
-    items each count. With carry, `doc` holds all columns of the row. A span is in words (word, end_word) and in bytes (start, end) of the text.
+    items each count. With carry, `text` and `doc` (all other columns) follow. A span is in words (word, end_word) and in bytes (start, end) of the text.
     """
     items = items.select(F.col(item_col).cast("string").alias("name"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // block_bytes))
-    kind = docs.schema[id_col].dataType.simpleString()
-    read = docs.select(F.lit(0).cast("long").alias("uid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), (whole(docs) if carry else F.lit(0)).alias("doc"))
-    doc = read.schema["doc"].dataType.simpleString()
+    read = docs.select(F.lit(0).cast("long").alias("uid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), (others(docs, text_col) if carry else F.lit(0)).alias("doc"))
+    carried = ["id", "doc", *["text"][:carry]]
     if blocks > 1:
         read = cut(read.withColumn("uid", F.monotonically_increasing_id()), "texts")
     found = None
     for k in range(blocks):
         own = (items if blocks == 1 else items.where(F.pmod(F.xxhash64("name", "text"), F.lit(blocks)) == k)).toArrow()
-        one = read.mapInArrow(_scan(Phrases.of(own["name"].to_pylist(), own["text"].combine_chunks())), f"uid long, id {kind}, doc {doc}, n_words long, spans {SPANS}, items array<string>")
+        one = read.mapInArrow(lean(_scan(Phrases.of(own["name"].to_pylist(), own["text"].combine_chunks()), carry)), layout(read, ["uid", *carried], f"n_words long, spans {SPANS}, items array<string>"))
         found = one if found is None else found.unionByName(one)
     if blocks > 1:
-        found = found.groupBy("uid").agg(F.first("id").alias("id"), F.first("doc").alias("doc"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
-    found = found.select("id", "doc", "n_words", "spans", "items").mapInArrow(_finish, f"id {kind}, doc {doc}, n_words long, n_hit long, n_items long, items_sha256 string, items array<string>, spans {SPANS}")
+        found = found.groupBy("uid").agg(F.first("id").alias("id"), F.first("doc").alias("doc"), *[F.first("text").alias("text")][:carry], F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+    found = found.select(*carried, "n_words", "spans", "items").mapInArrow(lean(_finish), layout(read, carried, f"n_words long, n_hit long, n_items long, items_sha256 string, items array<string>, spans {SPANS}"))
     rule = (F.col("n_hit") > 0) & (PART * F.col("n_hit") >= F.col("n_words"))
-    return found.select(F.col("id").alias(id_col), "n_words", "n_hit", "n_items", "items_sha256", rule.alias("contaminated"), "items", "spans", *["doc"][:carry])
+    return found.select(F.col("id").alias(id_col), "n_words", "n_hit", "n_items", "items_sha256", rule.alias("contaminated"), "items", "spans", *["doc", "text"][: 2 * carry])
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that are not contaminated, as they were."""
+    return restored(decontaminate(docs, items, id_col, text_col, carry=True).where("NOT contaminated"), docs, text_col)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import chunks, crc_mod, text_view
+from tessera.llm.common import chunks, crc_mod, lean, text_view
 
 #: Bytes of an n-gram; letters are lowered first, runs of other ASCII bytes count as one space.
 GRAM = 5
@@ -97,7 +97,7 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     g, c = np.unique(h[lang == i], return_counts=True)
                     yield pa.record_batch({"lang": pa.array([name] * len(g), pa.string()), "g": pa.array(g.view(np.int64)), "c": pa.array(c.astype(np.int64))})
 
-    counts = sample.mapInArrow(count, "lang string, g long, c long").groupBy("lang", "g").agg(F.sum("c").alias("c"))
+    counts = sample.mapInArrow(lean(count), "lang string, g long, c long").groupBy("lang", "g").agg(F.sum("c").alias("c"))
     totals = counts.groupBy("lang").agg(F.sum("c").alias("total"))
     common = counts.join(F.broadcast(totals), "lang").withColumn("rate", F.col("c") / F.col("total")).where(F.col("rate") >= SHARE).select("lang", "g", "rate").toArrow()
     g = common["g"].to_numpy().view(np.uint64)
@@ -153,7 +153,7 @@ def predict_languages(docs: DataFrame, model: LanguageFilters, id_col: str = "do
                 yield pa.record_batch({"id": part.column("id"), "lang_pred": pa.array(pred, pa.string()), "score": pa.array(np.where(known, share, 0.0))})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(score, f"id {kind}, lang_pred string, score double")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(score), f"id {kind}, lang_pred string, score double")
 
 
 def identify_languages(docs: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import chunks
+from tessera.llm.common import chunks, lean
 
 #: (bytes, format, offset of the bytes in the format): fixed values of the formats themselves.
 MAGIC = (
@@ -227,8 +227,7 @@ def sniff_media(rows: DataFrame, id_col: str, bytes_col: str, declared_col: str
                 carved = pa.struct([("kind", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("sha256", pa.string()), ("bytes", pa.binary())])
                 yield pa.record_batch({"id": part.column("id"), "declared": pa.array(said, pa.string()), "detected": pa.array(detected, pa.string()), "corrected": pa.array([a or b for a, b in zip(detected, said, strict=True)], pa.string()), "embedded": pa.array(inner, pa.list_(carved))})
 
-    return rows.select(F.col(id_col).alias("id"), F.col(bytes_col).cast("binary").alias("media"), declared.alias("declared")).mapInArrow(
-        run, f"id {kind}, declared string, detected string, corrected string, embedded array<struct<kind:string,offset:long,length:long,sha256:string,bytes:binary>>"
+    return rows.select(F.col(id_col).alias("id"), F.col(bytes_col).cast("binary").alias("media"), declared.alias("declared")).mapInArrow(lean(run), f"id {kind}, declared string, detected string, corrected string, embedded array<struct<kind:string,offset:long,length:long,sha256:string,bytes:binary>>"
     )
 
 
@@ -283,7 +282,6 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     rows["feature"].append(f"wav:{RATE}:1:8:{len(back)}:{level.mean():.4f}:{level.std():.4f}:{len(inner)}:{'+'.join(sorted({f.kind for f in inner}))}")
                 yield pa.record_batch({"id": part.column("id"), **{k: pa.array(v) for k, v in rows.items()}})
 
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(run), f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     )
     return out.withColumnRenamed("id", id_col)

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import sys
-import types
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Index, SliceHash, chunks, mixed, ranges
+from tessera.llm.common import WIDE_CHUNK_BYTES, Index, SliceHash, chunks, lean, mixed, ranges, worker_state
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -21,7 +19,7 @@ CELLS = 1 << 21
 #: Score of a byte piece in a unigram model: taken only where no piece covers a character.
 BYTE_SCORE = -100.0
 #: Words whose pieces a worker keeps; results do not depend on it.
-KEPT_WORDS = 1_500_000
+KEPT_WORDS = 500_000
 NEVER = np.int64(1) << 40
 
 
@@ -283,7 +281,7 @@ class Kept:
     @staticmethod
     def of(pieces: Pieces) -> Kept:
         """This worker process's own, shared by its tasks."""
-        state = sys.modules.setdefault("tessera_worker_state", types.ModuleType("tessera_worker_state"))
+        state = worker_state()
         name = hashlib.sha256(pieces.bytes_.tobytes() + pieces.scores.tobytes()).hexdigest()
         if getattr(state, "name", None) != name:
             state.name, state.kept = name, Kept(pieces)
@@ -301,7 +299,7 @@ def encode_pieces(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_
     def run(batches):
         kept = Kept.of(pieces)
         for batch in batches:
-            for part, data, off in chunks(batch, "text"):
+            for part, data, off in chunks(batch, "text", WIDE_CHUNK_BYTES):
                 ids, at = pieces.encode(data, off, kept)
                 back, to = pieces.decode(ids, at)
                 same = np.diff(to) == np.diff(off)
@@ -319,7 +317,7 @@ def encode_pieces(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_
                     }
                 )
 
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids array<int>, n_bytes long, n_tokens long, ids_sha256 string, exact boolean")
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(run), f"id {kind}, ids array<int>, n_bytes long, n_tokens long, ids_sha256 string, exact boolean")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -336,5 +334,5 @@ def decode_pieces(rows: DataFrame, pieces: Pieces, id_col: str = "doc_id", ids_c
             yield pa.record_batch({"id": batch.column("id"), "text": pa.array(text, pa.string())})
 
     ids = F.coalesce(F.col(ids_col).cast("array<int>"), F.array().cast("array<int>"))
-    out = rows.select(F.col(id_col).alias("id"), ids.alias("ids")).mapInArrow(run, f"id {kind}, text string")
+    out = rows.select(F.col(id_col).alias("id"), ids.alias("ids")).mapInArrow(lean(run), f"id {kind}, text string")
     return out.withColumnRenamed("id", id_col)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SliceHash, chunks, crc_mod, whole, words
+from tessera.llm.common import SliceHash, chunks, crc_mod, lean, others, restored, words
 
 #: Labelled rows that the fit takes at most (expected number of a hash-chosen sample).
 TRAIN_ROWS = 20_000
@@ -179,7 +179,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     part = int(min(1.0, rows / max(1, n)) * (1 << 20))
     sample = known.where(F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(1 << 20)) < part)
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select("text", F.col("label").cast("int").alias("label"))
-    got = found.mapInArrow(_measure(("label",)), "label int, x array<float>").toArrow()
+    got = found.mapInArrow(lean(_measure(("label",))), "label int, x array<float>").toArrow()
     if not got.num_rows:
         return fit_trees(np.empty((0, len(FEATURES))), np.empty(0))
     x = got["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
@@ -198,7 +198,7 @@ def score_quality(docs: DataFrame, model: Trees, id_col: str = "doc_id", text_co
                 yield pa.record_batch({**{f"c{i}": part.column(f"c{i}") for i in range(len(names))}, "__score": pa.array(model.score(statistics(data, off)))})
 
     inner = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)], F.col(text_col).alias("__text"))
-    out = inner.mapInArrow(run, ", ".join(f"c{i} {kinds[c]}" for i, c in enumerate(names)) + ", __score double")
+    out = inner.mapInArrow(lean(run), ", ".join(f"c{i} {kinds[c]}" for i, c in enumerate(names)) + ", __score double")
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], F.col("__score").alias("score"))
 
 
@@ -208,10 +208,10 @@ def keep_good(docs: DataFrame, model: Trees, text_col: str = "text", threshold:
     def run(batches):
         for batch in batches:
             for part, data, off in chunks(batch, "text"):
-                yield part.select(["doc"]).filter(pa.array(model.score(statistics(data, off)) >= threshold))
+                yield part.filter(pa.array(model.score(statistics(data, off)) >= threshold))
 
-    rows = docs.select(whole(docs).alias("doc"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, rows.select("doc").schema).select("doc.*")
+    rows = docs.select(others(docs, text_col).alias("doc"), F.col(text_col).alias("text"))
+    return restored(rows.mapInArrow(lean(run), rows.schema), docs, text_col)
 
 
 def contract_model(docs: DataFrame, labels: DataFrame) -> Trees:

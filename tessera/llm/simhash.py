@@ -8,8 +8,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch_rows, chunks, cut, drop, ranges, whole, words
-from tessera.llm.components import components
+from tessera.llm.common import batch_rows, chunks, cut, drop, lean, others, ranges, restored, words
+from tessera.operators.components import components
 
 SHINGLE, BITS, MOST = 3, 64, 3
 #: Fingerprints of one signature that one task compares; larger groups are dealt out as pairs of blocks.
@@ -130,7 +130,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
             for part, data, off in chunks(batch, "text"):
                 yield pa.record_batch({"id": part.column("id"), "fp": pa.array(fingerprints(data, off).view(np.int64))})
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(run), f"id {kind}, fp long")
 
 
 def signatures(prints: DataFrame) -> DataFrame:
@@ -227,7 +227,7 @@ def link_edges(prints: DataFrame) -> DataFrame:
         dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         rows = dealt.select("sig", (F.least("k", "j") * F.col("blocks") + F.greatest("k", "j")).cast("long").alias("part"), "fp")
     kept = rows.repartition("sig", "part").sortWithinPartitions("sig", "part", "fp")
-    return kept.mapInArrow(_pairs, "a long, b long")
+    return kept.mapInArrow(lean(_pairs), "a long, b long")
 
 
 def classes(prints: DataFrame, least) -> DataFrame:
@@ -243,17 +243,17 @@ def classes(prints: DataFrame, least) -> DataFrame:
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of every component, that of the smallest id (of one id, the smallest hash of a text), as it was."""
-    rows = docs.select(whole(docs).alias("doc"), F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash")).alias("key"), F.col(text_col).alias("text"))
+    rows = docs.select(others(docs, text_col).alias("doc"), F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash")).alias("key"), F.col(text_col).alias("text"))
     prints = cut(fingerprint_documents(rows, "key"), "fingerprints")
     chosen = classes(prints, F.min("id")).select(F.col("one").alias("key")).distinct()
     copies = prints.groupBy(F.col("id").alias("key")).agg(F.count("*").alias("n"))
     chosen = cut(chosen.join(copies, "key").select("key.id", "key.hash", "n"), "chosen")
     near = (rows["key.id"].eqNullSafe(chosen["id"])) & (rows["key.hash"] == chosen["hash"])
-    found = rows.join(chosen, near).select("doc", "id", "hash", "n")
+    found = rows.join(chosen, near).select("doc", "text", "id", "hash", "n")
     if chosen.where("n > 1").isEmpty():
-        return found.select("doc.*")
-    repeated = found.where("n > 1").groupBy("id", "hash").agg(F.first("doc").alias("doc"))
-    return found.where("n = 1").select("doc").unionByName(repeated.select("doc")).select("doc.*")
+        return restored(found, docs, text_col)
+    repeated = found.where("n > 1").groupBy("id", "hash").agg(F.first(F.struct("doc", "text")).alias("r")).select("r.*")
+    return restored(found.where("n = 1").select("doc", "text").unionByName(repeated), docs, text_col)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,11 +5,12 @@ anchor, the smallest of its 8-byte values in the part where a context of CONTEXT
 windows have equal anchors at equal places, so only suffixes at anchors are sorted, and of these only the ones whose
 context occurs twice (hashes leave out nothing that repeats). Windows with one anchor form a block:
 
-1. blocks equal to another one as a whole are repeated; one of each class goes on,
-2. different blocks with one context become suffixes from the anchor on, sorted per task into front-coded runs, dealt
-   out by context and merged by a loser tree with common prefixes, which gives the order and the lengths that
-   neighbours share. For each distance d of a window's start from its anchor, two windows are equal exactly if their
-   suffixes share MATCH - d bytes and the texts in front share d, which are both runs of sorted neighbours.
+1. blocks with one hash are a class, of which two go on (so that the sort shows that they are equal), or the only one,
+2. these blocks become suffixes from the anchor on, sorted per task into front-coded runs, dealt out by context and
+   merged by a loser tree with common prefixes, which gives the order and the lengths that neighbours share. For each
+   distance d of a window's start from its anchor, two windows are equal exactly if their suffixes share MATCH - d
+   bytes and the texts in front share d, which are both runs of sorted neighbours,
+3. what the merge finds of a class holds for all its blocks.
 """
 
 from __future__ import annotations
@@ -20,14 +21,17 @@ import struct
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SliceHash, batch_rows, chunks, cut, drop, ranges, text_view, whole
+from tessera.llm.common import SliceHash, batch_rows, chunks, cut, drop, layout, lean, others, ranges, restored, text_view
 
 MATCH = 400
 CONTEXT = 256
 REACH = MATCH - CONTEXT  # largest distance from a window's start to its anchor
+#: Text bytes that anchors are looked for in at a time; a chunk needs about 80 times as much memory.
+FIND_BYTES = 2 << 20
 #: Raw bytes of suffixes in one sorted run, and about what one merging task takes.
 RUN_BYTES, MERGE_BYTES = 8 << 20, 8 << 20
 #: A context with more distinct blocks than this is dealt out by ranges of distances, with what these windows share as key.
@@ -73,7 +77,7 @@ def unpack(pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 def _find(batches):
     for batch in batches:
-        for part, data, off in chunks(batch, "text"):
+        for part, data, off in chunks(batch, "text", FIND_BYTES):
             doc, begin, last, at, ctx, block = anchors(data, off)
             base = off[doc]
             row = part.column("row").to_numpy()[doc]
@@ -153,18 +157,21 @@ def neighbours(texts: list[bytes]) -> np.ndarray:
     return out
 
 
-FIELDS = (("row", "<i8"), ("pos", "<i8"), ("copies", "<i8"), ("near", "<i2"), ("far", "<i2"), ("common", "<i2"), ("size", "<i2"), ("front", "<i2"))
+FIELDS = (("row", "<i8"), ("pos", "<i8"), ("ctx", "<i8"), ("block", "<i8"), ("copies", "<i8"), ("near", "<i2"), ("far", "<i2"), ("common", "<i2"), ("size", "<i2"), ("front", "<i2"))
 
 
 def write_run(texts: list[bytes], fronts: list[bytes], numbers: dict[str, np.ndarray]) -> bytes:
-    """A sorted run: numbers, then of each suffix the bytes past the prefix shared with the one before, then the fronts."""
+    """A sorted run: numbers, then of each suffix the bytes past the prefix shared with the one before, then the fronts;
+    all of it compressed."""
     common = neighbours(texts)
     columns = numbers | {"common": common, "size": np.array([len(t) for t in texts]), "front": np.array([len(t) for t in fronts])}
     head = b"".join(np.asarray(columns[k]).astype(t).tobytes() for k, t in FIELDS)
-    return struct.pack("<i", len(texts)) + head + b"".join(t[c:] for t, c in zip(texts, common.tolist(), strict=True)) + b"".join(fronts)
+    whole = struct.pack("<i", len(texts)) + head + b"".join(t[c:] for t, c in zip(texts, common.tolist(), strict=True)) + b"".join(fronts)
+    return zstandard.ZstdCompressor(level=3).compress(whole)
 
 
 def read_run(raw: bytes) -> tuple[list[bytes], list[bytes], dict[str, np.ndarray]]:
+    raw = zstandard.ZstdDecompressor().decompress(raw)
     (n,) = struct.unpack_from("<i", raw)
     at, numbers = 4, {}
     for k, t in FIELDS:
@@ -193,7 +200,7 @@ def _runs(parts: int):
         for hi in range(1, len(held) + 1):
             if hi == len(held) or held[hi][0] != held[lo][0]:
                 own = held[lo:hi]
-                numbers = {k: np.array([e[3 + i] for e in own], np.int64) for i, k in enumerate(("row", "pos", "copies", "near", "far"))}
+                numbers = {k: np.array([e[3 + i] for e in own], np.int64) for i, k in enumerate(("row", "pos", "ctx", "block", "copies", "near", "far"))}
                 yield pa.record_batch({"task": pa.array([own[0][0]], pa.int64()), "run": pa.array([write_run([e[1] for e in own], [e[2] for e in own], numbers)], pa.binary())})
                 lo = hi
 
@@ -217,7 +224,7 @@ def _runs(parts: int):
                             task = int.from_bytes(hashlib.blake2b(text[at - min(lo_key, far) : at + MATCH - hi_key], digest_size=8).digest(), "little") % parts
                             if far < lo_key:
                                 continue
-                        held.append((task, text[at : last + MATCH], text[begin:at][::-1], rows[i], e["pos"], e["copies"], lo, hi))
+                        held.append((task, text[at : last + MATCH], text[begin:at][::-1], rows[i], e["pos"], e["ctx"], e["block"], e["copies"], lo, hi))
                         size += last + MATCH - begin
                     if size >= RUN_BYTES:
                         yield from flush(held)
@@ -268,14 +275,16 @@ def merge_runs(raw: list[bytes]) -> tuple[list[bytes], np.ndarray, dict[str, np.
 
 
 def _merge(table: pa.Table) -> pa.Table:
+    """Runs of distances lo..hi whose windows repeat: of a block (row, pos), or of every block of a class (ctx, block)."""
     fronts, common, numbers = merge_runs(table.column("run").to_pylist())
     hit = repeated_windows(common, numbers["size"], fronts, numbers["near"], numbers["far"])
-    hit[numbers["copies"] > 1] = False  # gone already as a whole
     edge = np.diff(np.pad(hit.astype(np.int8), ((0, 0), (1, 1))), axis=1)
     i, lo = np.nonzero(edge == 1)
     _, hi = np.nonzero(edge == -1)
-    _, at, _, tag = unpack(numbers["pos"][i])
-    return pa.table({"row": pa.array(numbers["row"][i]), "tag": pa.array(tag), "start": pa.array(at - (hi - 1)), "end": pa.array(at - lo + MATCH)})
+    hi = hi - 1
+    one = numbers["copies"][i] == 1
+    keys = {"row": np.where(one, numbers["row"][i], 0), "pos": np.where(one, numbers["pos"][i], 0), "ctx": np.where(one, 0, numbers["ctx"][i]), "block": np.where(one, 0, numbers["block"][i])}
+    return pa.table({k: pa.array(v) for k, v in (keys | {"lo": lo, "hi": hi}).items()} | {"single": pa.array(one)})
 
 
 def release(spark: SparkSession) -> None:
@@ -284,7 +293,7 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def _cut_out(kind: str, doc: str, with_text: bool):
+def _cut_out(with_text: bool):
     def run(batches):
         for batch in batches:
             for part, data, off in chunks(batch, "text"):
@@ -319,43 +328,43 @@ def _cut_out(kind: str, doc: str, with_text: bool):
                 types = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.string()}
                 yield pa.record_batch({"id": part.column("id"), "doc": part.column("doc"), **{k: pa.array(v, types[k]) for k, v in out.items()}})
 
-    return run, f"id {kind}, doc {doc}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
+    return run
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
-    """id, n_bytes, n_removed, n_spans, kept_sha256 and, with carry, the kept text and `doc`, all columns of the row.
+    """id, n_bytes, n_removed, n_spans, kept_sha256 and, with carry, the kept text and `doc`, all other columns.
 
     Whole texts as UTF-8 bytes; null is empty. Rows are told apart by 80 bits of hashes of id and text; repeated rows
     with one id and text share their result, and repeat each other's strings. The kept text loses whole characters
     where a byte of them goes, the digest is of the exact bytes. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), (whole(docs) if carry else F.lit(0)).alias("doc"), F.xxhash64(F.col(id_col), text).alias("row"), (F.xxhash64(text) % 65536).bitwiseAND(F.lit(65535)).alias("tag"))
-    found = cut(rows.select("row", "tag", "text").mapInArrow(_find, "row long, pos long, ctx long, block long"), "anchors")
-    twice = found.groupBy("ctx").agg(F.count("*").alias("n"), F.min("block").alias("lo"), F.max("block").alias("hi")).where("n > 1")
-    able = cut(found.join(twice.select("ctx", (F.col("lo") != F.col("hi")).alias("mixed")), "ctx"), "candidates")
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), (others(docs, text_col) if carry else F.lit(0)).alias("doc"), F.xxhash64(F.col(id_col), text).alias("row"), (F.xxhash64(text) % 65536).bitwiseAND(F.lit(65535)).alias("tag"))
+    found = cut(rows.select("row", "tag", "text").mapInArrow(lean(_find), "row long, pos long, ctx long, block long"), "anchors")
+    twice = cut(found.groupBy("ctx").agg(F.count("*").alias("n")).where("n > 1").select("ctx"), "contexts")
+    able = cut(found.join(twice, "ctx"), "candidates")  # a table of its own: Spark can then split a frequent context
     drop(found)
+    drop(twice)
     release(spark)
-    classes = cut(able.groupBy("ctx", "block").agg(F.count("*").alias("copies"), F.min(F.struct("row", "pos")).alias("one"), F.first("mixed").alias("mixed")), "blocks")
-    again = classes.where("copies > 1").select("ctx", "block")
-    full = able.join(again, ["ctx", "block"], "left_semi").select("row", "pos")
-    first = F.shiftright("pos", 16).bitwiseAND(F.lit(0x7FFFFFFF))
-    full = full.select("row", F.shiftright("pos", 47).alias("tag"), first.alias("start"), (first + F.col("pos").bitwiseAND(F.lit(0xFF)) + MATCH).alias("end"))
-    mixed = classes.where("mixed")
-    sizes = mixed.groupBy("ctx").agg(F.count("*").alias("blocks"))
-    n = mixed.count()
-    parts = max(1, -(-n * (MATCH + REACH // 2) // MERGE_BYTES))
-    entry = F.struct(F.col("one.pos").alias("pos"), "ctx", "copies", "blocks")
-    entries = mixed.join(sizes, "ctx").select(F.col("one.row").alias("row"), F.shiftright("one.pos", 47).alias("tag"), entry.alias("e")).groupBy("row", "tag").agg(F.collect_list("e").alias("entries"))
-    made = rows.select("row", "tag", "text").join(entries, ["row", "tag"]).select("row", "text", "entries").mapInArrow(_runs(parts), "task long, run binary")
+    classes = cut(able.groupBy("ctx", "block").agg(F.count("*").alias("copies"), F.min(F.struct("row", "pos")).alias("one"), F.max(F.struct("row", "pos")).alias("two")), "blocks")
+    sizes = classes.groupBy("ctx").agg(F.count("*").alias("blocks"))
+    sent = classes.select("ctx", "block", "copies", F.explode(F.when(F.col("copies") > 1, F.array("one", "two")).otherwise(F.array("one"))).alias("o"))
+    n, doubles = classes.agg(F.count("*"), F.count_if(F.col("copies") > 1)).first()
+    parts = max(1, -(-(n + doubles) * (MATCH + REACH // 2) // MERGE_BYTES))
+    entry = F.struct(F.col("o.pos").alias("pos"), "ctx", "block", "copies", "blocks")
+    entries = sent.join(sizes, "ctx").select(F.col("o.row").alias("row"), F.shiftright("o.pos", 47).alias("tag"), entry.alias("e")).groupBy("row", "tag").agg(F.collect_list("e").alias("entries"))
+    made = rows.select("row", "tag", "text").join(entries, ["row", "tag"]).select("row", "text", "entries").mapInArrow(lean(_runs(parts)), "task long, run binary")
     with batch_rows(spark, 64):
-        spans = cut(made.groupBy("task").applyInArrow(_merge, "row long, tag long, start long, end long").unionByName(full), "spans")
+        hits = cut(made.groupBy("task").applyInArrow(_merge, "row long, pos long, ctx long, block long, lo long, hi long, single boolean"), "hits")
     release(spark)
+    several = hits.where("NOT single").select("ctx", "block", "lo", "hi").distinct()
+    both = hits.where("single").select("row", "pos", "lo", "hi").unionByName(able.join(several, ["ctx", "block"]).select("row", "pos", "lo", "hi"))
+    anchor = F.shiftright("pos", 16).bitwiseAND(F.lit(0x7FFFFFFF)) + F.shiftright("pos", 8).bitwiseAND(F.lit(0xFF))
+    spans = both.select("row", F.shiftright("pos", 47).alias("tag"), (anchor - F.col("hi")).alias("start"), (anchor - F.col("lo") + MATCH).alias("end"))
     lists = spans.groupBy("row", "tag").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    run, schema = _cut_out(kind, rows.schema["doc"].dataType.simpleString(), carry)
-    out = rows.join(lists, ["row", "tag"], "left").select("id", "doc", "text", "spans").mapInArrow(run, schema)
+    run = _cut_out(carry)
+    out = rows.join(lists, ["row", "tag"], "left").select("id", "doc", "text", "spans").mapInArrow(lean(run), layout(rows, ["id", "doc"], "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"))
     return out.withColumnRenamed("id", id_col) if carry else out.drop("kept", "doc").withColumnRenamed("id", id_col)
 
 
@@ -363,4 +372,4 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """All rows with what remains of their texts (empty if nothing does); a column of lengths is kept true."""
     out = remove_repeats(docs, id_col, text_col, carry=True)
     new = {text_col: F.col("kept")} | ({chars_col: F.length("kept").cast(docs.schema[chars_col].dataType)} if chars_col in docs.columns else {})
-    return out.select(*[new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
+    return restored(out, docs, text_col, **new)
