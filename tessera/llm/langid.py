@@ -13,7 +13,7 @@ from tessera.llm.common import chunks, crc_mod, lean, text_view
 
 #: Bytes of an n-gram; letters are lowered first, runs of other ASCII bytes count as one space.
 GRAM = 5
-#: Bytes of a document that the counts of one pass see at a time are whole texts; training rows a language.
+#: Training rows a language (expected number of a hash-chosen sample).
 TRAIN_ROWS = 4000
 #: A language holds an n-gram that makes up this share of its own n-grams at least, so it holds 1 / SHARE at most ...
 SHARE = 2e-5
@@ -90,7 +90,7 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for batch in batches:
             for part, data, off in chunks(batch, "text"):
                 h, doc = grams(data, off)
-                code, names = part.column("lang").dictionary_encode(), None
+                code = part.column("lang").dictionary_encode()
                 names = code.dictionary.to_pylist()
                 lang = np.asarray(code.indices)[doc]
                 for i, name in enumerate(names):

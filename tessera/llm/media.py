@@ -92,14 +92,11 @@ def _jpeg(b: memoryview, i: int) -> int:
         at += 2 + struct.unpack_from(">H", b, at + 2)[0]
         if mark == 0xDA:
             scan = True
-            raw = bytes(b[at:])
-            k = 0
-            while (k := raw.find(b"\xff", k)) >= 0 and k + 1 < len(raw) and (raw[k + 1] == 0 or 0xD0 <= raw[k + 1] <= 0xD7):
-                k += 2
-            if k < 0 or k + 1 >= len(raw):
+            while (at := b.obj.find(b"\xff", at)) >= 0 and at + 1 < len(b) and (b[at + 1] == 0 or 0xD0 <= b[at + 1] <= 0xD7):
+                at += 2
+            if at < 0 or at + 1 >= len(b):
                 return 0
-            at += k
-            if raw[k + 1] == 0xD9:
+            if b[at + 1] == 0xD9:
                 return at + 2 - i
     return 0 if scan or at > len(b) else 0
 
@@ -163,23 +160,26 @@ def _mp4(b: memoryview, i: int) -> int:
 
 
 def _pdf(b: memoryview, i: int) -> int:
-    end = bytes(b[i:]).find(b"%%EOF")
-    return end + 5 if end > 0 and bytes(b[i + 5 : i + 6]).isdigit() else 0
+    end = b.obj.find(b"%%EOF", i)
+    return end + 5 - i if end > i and bytes(b[i + 5 : i + 6]).isdigit() else 0
 
 
 def _zip(b: memoryview, i: int) -> int:
-    raw = bytes(b[i:])
-    end = raw.find(b"PK\x05\x06")
-    if end < 0 or end + 22 > len(raw):
+    end = b.obj.find(b"PK\x05\x06", i)
+    if end < 0 or end + 22 > len(b):
         return 0
-    size, at = struct.unpack_from("<II", raw, end + 12)
-    return end + 22 + struct.unpack_from("<H", raw, end + 20)[0] if at + size == end else 0
+    size, at = struct.unpack_from("<II", b, end + 12)
+    return end + 22 + struct.unpack_from("<H", b, end + 20)[0] - i if at + size == end - i else 0
 
 
 def _gzip(b: memoryview, i: int) -> int:
-    d = zlib.decompressobj(31)
+    d, rest = zlib.decompressobj(31), b[i:]
     try:
-        d.decompress(bytes(b[i:]))
+        while not d.eof:  # a part at a time, whatever it unpacks to
+            out = d.decompress(rest, 1 << 20)
+            rest = d.unconsumed_tail
+            if not out and not len(rest):
+                break
     except zlib.error:
         return 0
     return len(b) - i - len(d.unused_data) if d.eof else 0
