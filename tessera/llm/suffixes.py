@@ -18,6 +18,7 @@ from __future__ import annotations
 import gc
 import hashlib
 import struct
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -288,9 +289,12 @@ def _merge(table: pa.Table) -> pa.Table:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished steps now, not at some later collection of garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark delete the shuffle files of finished steps now, not at some later collection of garbage: the second
+    round finds what the first one let go of."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def _cut_out(with_text: bool):
@@ -331,6 +335,25 @@ def _cut_out(with_text: bool):
     return run
 
 
+def _hits(rows: DataFrame, able: DataFrame) -> DataFrame:
+    """What the merge finds of the candidate blocks; see _merge()."""
+    spark = rows.sparkSession
+    classes = cut(able.groupBy("ctx", "block").agg(F.count("*").alias("copies"), F.min(F.struct("row", "pos")).alias("one"), F.max(F.struct("row", "pos")).alias("two")), "blocks")
+    hot = cut(classes.groupBy("ctx").agg(F.count("*").alias("blocks")).where(F.col("blocks") > HOT_BLOCKS), "hot")
+    n, doubles = classes.agg(F.count("*"), F.count_if(F.col("copies") > 1)).first()
+    release(spark)
+    parts = max(1, -(-(n + doubles) * (MATCH + REACH // 2) // MERGE_BYTES))
+    sent = classes.select("ctx", "block", "copies", F.explode(F.when(F.col("copies") > 1, F.array("one", "two")).otherwise(F.array("one"))).alias("o"))
+    entry = F.struct(F.col("o.pos").alias("pos"), "ctx", "block", "copies", F.coalesce("blocks", F.lit(0)).alias("blocks"))
+    entries = sent.join(hot, "ctx", "left").select(F.col("o.row").alias("row"), F.shiftright("o.pos", 47).alias("tag"), entry.alias("e")).groupBy("row", "tag").agg(F.collect_list("e").alias("entries"))
+    made = rows.join(entries, ["row", "tag"]).select("row", "text", "entries").mapInArrow(lean(_runs(parts)), "task long, run binary")
+    with batch_rows(spark, 64):
+        hits = cut(made.groupBy("task").applyInArrow(_merge, "row long, pos long, ctx long, block long, lo long, hi long, single boolean"), "hits")
+    drop(classes)
+    drop(hot)
+    return hits
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256 and, with carry, the kept text and `doc`, all other columns.
 
@@ -343,20 +366,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), (others(docs, text_col) if carry else F.lit(0)).alias("doc"), F.xxhash64(F.col(id_col), text).alias("row"), (F.xxhash64(text) % 65536).bitwiseAND(F.lit(65535)).alias("tag"))
     found = cut(rows.select("row", "tag", "text").mapInArrow(lean(_find), "row long, pos long, ctx long, block long"), "anchors")
     twice = cut(found.groupBy("ctx").agg(F.count("*").alias("n")).where("n > 1").select("ctx"), "contexts")
-    able = cut(found.join(twice, "ctx"), "candidates")  # a table of its own: Spark can then split a frequent context
+    release(spark)
+    able = cut(found.join(twice, "ctx"), "candidates")  # twice is a table of its own: Spark can then split a frequent context
     drop(found)
     drop(twice)
     release(spark)
-    classes = cut(able.groupBy("ctx", "block").agg(F.count("*").alias("copies"), F.min(F.struct("row", "pos")).alias("one"), F.max(F.struct("row", "pos")).alias("two")), "blocks")
-    sizes = classes.groupBy("ctx").agg(F.count("*").alias("blocks"))
-    sent = classes.select("ctx", "block", "copies", F.explode(F.when(F.col("copies") > 1, F.array("one", "two")).otherwise(F.array("one"))).alias("o"))
-    n, doubles = classes.agg(F.count("*"), F.count_if(F.col("copies") > 1)).first()
-    parts = max(1, -(-(n + doubles) * (MATCH + REACH // 2) // MERGE_BYTES))
-    entry = F.struct(F.col("o.pos").alias("pos"), "ctx", "block", "copies", "blocks")
-    entries = sent.join(sizes, "ctx").select(F.col("o.row").alias("row"), F.shiftright("o.pos", 47).alias("tag"), entry.alias("e")).groupBy("row", "tag").agg(F.collect_list("e").alias("entries"))
-    made = rows.select("row", "tag", "text").join(entries, ["row", "tag"]).select("row", "text", "entries").mapInArrow(lean(_runs(parts)), "task long, run binary")
-    with batch_rows(spark, 64):
-        hits = cut(made.groupBy("task").applyInArrow(_merge, "row long, pos long, ctx long, block long, lo long, hi long, single boolean"), "hits")
+    hits = _hits(rows.select("row", "tag", "text"), able)
     release(spark)
     several = hits.where("NOT single").select("ctx", "block", "lo", "hi").distinct()
     both = hits.where("single").select("row", "pos", "lo", "hi").unionByName(able.join(several, ["ctx", "block"]).select("row", "pos", "lo", "hi"))
