@@ -85,7 +85,7 @@ def test_auc_and_logistic_equal_numpy(spark):
     x[1::2] += 0.7
     rows = [(f"r{i:02d}", f"g{i // 2:02d}", state[i], "train", [float(v) for v in x[i]]) for i in range(60)]
     df = spark.createDataFrame(rows, "id string, group string, state string, split string, features array<double>")
-    got = probes.oof_scores(df, "seed").toPandas().set_index("id")
+    got = probes.oof_scores(df, "seed").where("pair = 'C-D'").toPandas().set_index("id")
     y = np.array([s == "D" for s in state], float)
     for fold in range(5):
         held = np.array([got.loc[f"r{i:02d}", "fold"] == fold for i in range(60)])
