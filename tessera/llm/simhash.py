@@ -85,23 +85,24 @@ def bit_counts(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """The 64-bit fingerprint of each text; a text without words has 0."""
+def shingles(data: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, their number by text): XXH64 of each run of `width` words, lowered and one space apart; a text of fewer
+    words is one run, one without words has none."""
     n = len(off) - 1
     start, end, doc = words(~SPACE[data], off)
-    out = np.zeros(n, np.uint64)
     if not len(start):
-        return out
+        return np.empty(0, np.uint64), np.zeros(n, np.int64)
     size = end - start
     to = np.cumsum(size + 1) - (size + 1)
     buf = np.full(int(to[-1] + size[-1] + 8), 32, np.uint8)
     buf[ranges(to, size)] = LOWERED[data[ranges(start, size)]]
     count = np.bincount(doc, minlength=n)
     first = np.cumsum(count) - count
-    full = np.flatnonzero(doc[: len(doc) - 2] == doc[2:]) if len(doc) > 2 else np.empty(0, np.int64)
-    few = np.flatnonzero((count > 0) & (count < SHINGLE))
+    over = width - 1
+    full = np.flatnonzero(doc[: len(doc) - over] == doc[over:]) if len(doc) > over else np.empty(0, np.int64)
+    few = np.flatnonzero((count > 0) & (count < width))
     head = np.concatenate([full, first[few]])
-    tail = np.concatenate([full + 2, first[few] + count[few] - 1])
+    tail = np.concatenate([full + over, first[few] + count[few] - 1])
     order = np.argsort(doc[head], kind="stable")
     head, tail = head[order], tail[order]
     begin, length = to[head], to[tail] + size[tail] - to[head]
@@ -115,10 +116,17 @@ def fingerprints(data: np.ndarray, off: np.ndarray) -> np.ndarray:
             h[at] = xxh64(buf, begin[at], one)
         else:
             h[at] = [xxhash.xxh64_intdigest(buf[b : b + one].tobytes(), SEED) for b in begin[at]]
+    return h, np.bincount(doc[head], minlength=n)
+
+
+def fingerprints(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """The 64-bit fingerprint of each text; a text without words has 0."""
+    out = np.zeros(len(off) - 1, np.uint64)
+    h, count = shingles(data, off, SHINGLE)
     has = np.flatnonzero(count)
-    shingles = np.bincount(doc[head], minlength=n)[has]
-    ones = bit_counts(h, shingles)
-    out[has] = np.packbits(2 * ones > shingles[:, None], axis=1, bitorder="little").view("<u8").ravel()
+    if len(has):
+        ones = bit_counts(h, count[has])
+        out[has] = np.packbits(2 * ones > count[has][:, None], axis=1, bitorder="little").view("<u8").ravel()
     return out
 
 
@@ -241,19 +249,24 @@ def classes(prints: DataFrame, least) -> DataFrame:
     return named.join(named.groupBy("label").agg(F.min("rep").alias("one")), "label").select("fp", "one")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of every component, that of the smallest id (of one id, the smallest hash of a text), as it was."""
-    rows = docs.select(others(docs, text_col).alias("doc"), F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash")).alias("key"), F.col(text_col).alias("text"))
-    prints = cut(fingerprint_documents(rows, "key"), "fingerprints")
-    chosen = classes(prints, F.min("id")).select(F.col("one").alias("key")).distinct()
+def keep_least(docs: DataFrame, rows: DataFrame, prints: DataFrame, found: DataFrame, text_col: str) -> DataFrame:
+    """The rows of docs whose key is the chosen one (column one of found) of a group, each key once."""
+    chosen = found.select(F.col("one").alias("key")).distinct()
     copies = prints.groupBy(F.col("id").alias("key")).agg(F.count("*").alias("n"))
     chosen = cut(chosen.join(copies, "key").select("key.id", "key.hash", "n"), "chosen")
     near = (rows["key.id"].eqNullSafe(chosen["id"])) & (rows["key.hash"] == chosen["hash"])
-    found = rows.join(chosen, near).select("doc", "text", "id", "hash", "n")
+    kept = rows.join(chosen, near).select("doc", "text", "id", "hash", "n")
     if chosen.where("n > 1").isEmpty():
-        return restored(found, docs, text_col)
-    repeated = found.where("n > 1").groupBy("id", "hash").agg(F.first(F.struct("doc", "text")).alias("r")).select("r.*")
-    return restored(found.where("n = 1").select("doc", "text").unionByName(repeated), docs, text_col)
+        return restored(kept, docs, text_col)
+    repeated = kept.where("n > 1").groupBy("id", "hash").agg(F.first(F.struct("doc", "text")).alias("r")).select("r.*")
+    return restored(kept.where("n = 1").select("doc", "text").unionByName(repeated), docs, text_col)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of every component, that of the smallest id (of one id, the smallest hash of a text), as it was."""
+    rows = docs.select(others(docs, text_col).alias("doc"), F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash")).alias("key"), F.col(text_col).alias("text"))
+    prints = cut(fingerprint_documents(rows, "key"), "fingerprints")
+    return keep_least(docs, rows, prints, classes(prints, F.min("id")), text_col)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
