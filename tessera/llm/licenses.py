@@ -211,13 +211,27 @@ def classify_paragraphs(lines: DataFrame, model: LicenseModel) -> DataFrame:
     return best.select("line", "m.family", "m.score", "m.template", "m.similarity")
 
 
+def _blocks(rows: DataFrame, cue) -> DataFrame:
+    """row, tag, number of the first line and the text of each block of neighbouring non-blank lines, of two at least."""
+    parts = F.split(F.regexp_replace("text", r"(?m)^[ \t\r\f\x0B]+$", ""), "\n\n", -1)
+    made = rows.select("row", "tag", parts.alias("parts")).select("row", "tag", "parts", F.posexplode("parts").alias("i", "part"))
+    line = F.regexp_replace("part", r"^\n+|\n+$", "")
+    found = made.withColumn("line", line).where(F.col("line").contains("\n")).where(cue)
+    count = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n")))
+    before = F.aggregate(F.slice("parts", 1, F.col("i")), F.lit(0), lambda n, x: n + count(x) + 2)
+    lead = F.length("part") - F.length(F.regexp_replace("part", r"^\n+", ""))
+    return found.select("row", "tag", (before + lead).alias("number"), (count(F.col("line")) + 1).alias("lines"), "line")
+
+
 def scan_licenses(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_paragraphs (non-blank lines), n_licences, families (sorted, comma-joined, empty
     without one), and of the confirmed paragraph with the largest score (first of equals) its number from 0, family,
     score, template and similarity, else null.
 
     A paragraph without a word of the model's vocabulary has no feature and is unknown, so it is left out before
-    any n-gram is made. Each distinct paragraph is judged once, and a frequent notice is one row after a map-side
+    any n-gram is made. Notices that are wrapped over lines are found too: each block of neighbouring non-blank lines is
+    a further candidate beside its lines, numbered as its first line; it counts unless a line of it already confirmed
+    the same family. Each distinct paragraph is judged once, and a frequent notice is one row after a map-side
     combine. Repeated rows are all returned; null and empty texts have no paragraph; other columns are not read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -226,8 +240,15 @@ def scan_licenses(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id",
     vocabulary = sorted({w for i, g in enumerate(model.vocabulary) if np.abs(model.weights[i]).max() > 1e-6 for w in g.split() if w not in STOP})
     cue = F.arrays_overlap(F.split(F.lower("line"), TOKEN), F.array(*[F.lit(w) for w in vocabulary]))
     found = rows.select("row", "tag", F.posexplode(lines).alias("number", "line")).where(cue)
+    found = found.withColumn("lines", F.lit(1)).unionByName(_blocks(rows, cue))
     judged = classify_paragraphs(found.select("line").distinct(), model)
-    hits = found.join(judged, "line").dropDuplicates(["row", "tag", "number"])
+    hits = found.join(judged, "line").dropDuplicates(["row", "tag", "number", "lines"])
+    lone = hits.where("lines = 1").select("row", "tag", "family", F.col("number").alias("at"))
+    inside = (F.col("at") >= F.col("number")) & (F.col("at") < F.col("number") + F.col("lines"))
+    whole = hits.where("lines > 1").alias("h").join(lone.alias("l"), ["row", "tag", "family"], "left")
+    wrapped = whole.groupBy("row", "tag", "number", "family").agg(F.first("score").alias("score"), F.first("template").alias("template"), F.first("similarity").alias("similarity"), F.max(F.coalesce(inside, F.lit(False))).alias("again")).where("NOT again")
+    names = ["row", "tag", "number", "family", "score", "template", "similarity"]
+    hits = hits.where("lines = 1").select(*names).unionByName(wrapped.select(*names))
     best = F.max(F.struct("score", (-F.col("number")).alias("back"), "family", "template", "similarity")).alias("m")
     per = hits.groupBy("row", "tag").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), best)
     count = F.size(F.filter(lines, lambda x: F.trim(x) != "")).cast("long").alias("n_paragraphs")
