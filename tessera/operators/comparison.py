@@ -54,7 +54,7 @@ def bootstrap(rows: DataFrame) -> DataFrame:
     return rows.groupBy("metric").applyInPandas(_interval, "metric string, control double, treatment double, delta double, ci_low double, ci_high double")
 
 
-def digest_bootstrap(rows: DataFrame, samples: int = 200, unit: str = "orbit_id", seed: str = str(SEED)) -> DataFrame:
+def digest_bootstrap(rows: DataFrame, samples: int = SAMPLES, unit: str = "orbit_id", seed: str = str(SEED)) -> DataFrame:
     """Another stream that any engine can repeat: draw i of resample b is the unit whose place is a digest modulo n.
 
     With a coarser unit (a component) whole groups are drawn and the statistic stays a mean over orbits."""

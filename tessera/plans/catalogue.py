@@ -293,14 +293,19 @@ def q30_oof_logistic(spark, sf):
 
 
 ARMS = "SELECT c_nationkey AS unit, count(*) AS k, round(avg(c_acctbal) / 10000, 9) AS control, round(avg(c_acctbal + c_custkey % 700) / 10000, 9) AS treatment FROM customer GROUP BY c_nationkey"
+
+
+def arm_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("orbit_id"))
+    return c.agg(F.round(F.avg("c_acctbal") / 10000, 9).alias("control"), F.round(F.avg(F.col("c_acctbal") + F.col("c_custkey") % 700) / 10000, 9).alias("treatment")).withColumn("metric", F.lit("balance"))
+
+
 DRAW = HORNER("'20260814' || chr(10) || b || chr(10) || i", "n")
 
 
 @query(f"WITH a AS (SELECT *, row_number() OVER (ORDER BY unit) - 1 AS place, count(*) OVER () AS n FROM ({ARMS})), t AS (SELECT b, i, n FROM (SELECT max(n) AS n FROM a), range(200) AS x(b), range(100) AS y(i) WHERE i < n), s AS (SELECT b, avg(treatment - control) AS m FROM (SELECT b, {DRAW} % n AS place FROM t) JOIN a USING (place) GROUP BY b) SELECT (SELECT round(avg(treatment - control), 9) FROM a) AS delta, round(quantile_cont(m, 0.025), 9) AS ci_low, round(quantile_cont(m, 0.975), 9) AS ci_high FROM s")
 def q31_bootstrap(spark, sf):
-    c = read(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("orbit_id"))
-    rows = c.agg(F.round(F.avg("c_acctbal") / 10000, 9).alias("control"), F.round(F.avg(F.col("c_acctbal") + F.col("c_custkey") % 700) / 10000, 9).alias("treatment")).withColumn("metric", F.lit("balance"))
-    out = comparison.digest_bootstrap(rows)
+    out = comparison.digest_bootstrap(arm_rows(spark, sf), samples=200)  # as many as the SQL draws; q40 has them all
     return out.select(*[F.round(k, 9).alias(k) for k in ("delta", "ci_low", "ci_high")])
 
 
@@ -365,3 +370,10 @@ def q38_component_histogram(spark, sf):
 def q39_schedule(spark, sf):
     plan = audits.schedule(read(spark, sf, "documents"), "doc_id")
     return plan.select("doc_id", "batch")
+
+
+@query(None)
+def q40_exact_bootstrap(spark, sf):
+    """The exact 10,000 resamples; a SQL engine has no such generator."""
+    out = comparison.bootstrap(arm_rows(spark, sf))
+    return out.select(*[F.round(k, 9).alias(k) for k in ("delta", "ci_low", "ci_high")])
