@@ -143,12 +143,13 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 class SliceHash:
-    """64-bit hashes of any slices of a byte buffer: prefix sums of code(byte) * base ** position."""
+    """64-bit hashes of any slices of a byte buffer, or of given codes: prefix sums of code * base ** position."""
 
-    def __init__(self, data: np.ndarray):
-        up, self.down = _powers(len(data) + 1)
-        self.prefix = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(BYTE_CODE[data] * up[: len(data)], out=self.prefix[1:])
+    def __init__(self, data: np.ndarray | None = None, codes: np.ndarray | None = None):
+        codes = BYTE_CODE[data] if codes is None else codes
+        up, self.down = _powers(len(codes) + 1)
+        self.prefix = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(codes * up[: len(codes)], out=self.prefix[1:])
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mixed((self.prefix[end] - self.prefix[start]) * self.down[start])

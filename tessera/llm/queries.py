@@ -13,7 +13,7 @@ from tessera.llm.pieces import Pieces, encode_pieces
 from tessera.llm.quality import judge_quality
 from tessera.llm.sharding import histogram_shards
 from tessera.llm.simhash import hex_print, near_duplicates
-from tessera.llm.suffixes import remove_repeats
+from tessera.llm.suffixes import repeat_report
 from tessera.llm.urlrules import judge_urls, rules_frame
 
 
@@ -50,7 +50,7 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents"))
+    return repeat_report(table(spark, sf_dir, "documents"))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

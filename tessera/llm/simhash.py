@@ -85,6 +85,21 @@ def bit_counts(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+def hash_slices(buf: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """XXH64 of slices of any lengths; buf has 8 spare bytes at its end."""
+    h = np.empty(len(begin), np.uint64)
+    by = np.argsort(np.minimum(length, 60_000).astype(np.uint16), kind="stable")
+    edges = np.flatnonzero(np.append(True, np.diff(length[by]) != 0)) if len(by) else []
+    for lo, hi in zip(edges, np.append(edges[1:], len(by)), strict=True):
+        at = by[lo:hi]
+        one = int(length[at[0]])
+        if one <= 256 or len(at) >= 1000:
+            h[at] = xxh64(buf, begin[at], one)
+        else:
+            h[at] = [xxhash.xxh64_intdigest(buf[b : b + one].tobytes(), SEED) for b in begin[at]]
+    return h
+
+
 def shingles(data: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, their number by text): XXH64 of each run of `width` words, lowered and one space apart; a text of fewer
     words is one run, one without words has none."""
@@ -105,18 +120,7 @@ def shingles(data: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray,
     tail = np.concatenate([full + over, first[few] + count[few] - 1])
     order = np.argsort(doc[head], kind="stable")
     head, tail = head[order], tail[order]
-    begin, length = to[head], to[tail] + size[tail] - to[head]
-    h = np.empty(len(head), np.uint64)
-    by = np.argsort(np.minimum(length, 60_000).astype(np.uint16), kind="stable")
-    edges = np.flatnonzero(np.append(True, np.diff(length[by]) != 0)) if len(by) else []
-    for lo, hi in zip(edges, np.append(edges[1:], len(by)), strict=True):
-        at = by[lo:hi]
-        one = int(length[at[0]])
-        if one <= 256 or len(at) >= 1000:
-            h[at] = xxh64(buf, begin[at], one)
-        else:
-            h[at] = [xxhash.xxh64_intdigest(buf[b : b + one].tobytes(), SEED) for b in begin[at]]
-    return h, np.bincount(doc[head], minlength=n)
+    return hash_slices(buf, to[head], to[tail] + size[tail] - to[head]), np.bincount(doc[head], minlength=n)
 
 
 def fingerprints(data: np.ndarray, off: np.ndarray) -> np.ndarray:

@@ -1,73 +1,126 @@
-"""Repeated passages: sorted, front-coded suffix runs are exchanged and merged by loser trees that keep common prefixes.
-
-A byte goes if a string of MATCH bytes that covers it starts anywhere else. Each window of MATCH bytes belongs to one
-anchor, the smallest of its 8-byte values in the part where a context of CONTEXT bytes still fits behind it. Equal
-windows have equal anchors at equal places, so only suffixes at anchors are sorted, and of these only the ones whose
-context occurs twice (hashes leave out nothing that repeats). Windows with one anchor form a block:
-
-1. blocks with one hash are a class, of which two go on (so that the sort shows that they are equal), or the only one,
-2. these blocks become suffixes from the anchor on, sorted per task into front-coded runs, dealt out by context and
-   merged by a loser tree with common prefixes, which gives the order and the lengths that neighbours share. For each
-   distance d of a window's start from its anchor, two windows are equal exactly if their suffixes share MATCH - d
-   bytes and the texts in front share d, which are both runs of sorted neighbours,
-3. what the merge finds of a class holds for all its blocks.
+"""Repeated strings: sorted, front-coded suffix runs are exchanged and merged by loser trees that keep common prefixes.
+
+A symbol goes if a string of `match` symbols that covers it starts anywhere else; a Rule says what symbols are (bytes, or
+words whatever their case and punctuation). Each window of `match` symbols belongs to one anchor, the least of its grams
+in the part where a context of `context` symbols still fits behind it. Equal windows have equal anchors at equal places,
+so only suffixes at anchors are sorted, and of these only the ones whose context occurs twice (a hash that leaves out
+nothing that repeats). Windows with one anchor form a block:
+
+1. blocks with one digest are a class, of which two go on (so that the sort shows that they are equal), or the only one;
+   a context with more than HOT_BLOCKS classes is taken apart into single windows, of which only repeated ones go on,
+2. these blocks become suffixes from the anchor on, sorted per task into front-coded runs, dealt out by splitters of the
+   suffix order and merged by a loser tree with common prefixes, which gives the order and the lengths that neighbours
+   share. For each distance d of a window's start from its anchor, two windows are equal exactly if their suffixes share
+   match - d symbols and the texts in front share d, which are both runs of sorted neighbours,
+3. what the merge finds of a class holds for all its blocks: their digest is XXH64 over both ends, which cover a block.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import struct
-import time
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SliceHash, batch_rows, chunks, cut, drop, layout, lean, others, ranges, restored, text_view
+from tessera.llm.common import SliceHash, batch_rows, chunks, cut, drop, layout, lean, mixed, others, ranges, restored, text_view, words
+from tessera.llm.decontam import WORD
+from tessera.llm.simhash import LOWERED, SEED, hash_slices, xxh64
 
-MATCH = 400
-CONTEXT = 256
-REACH = MATCH - CONTEXT  # largest distance from a window's start to its anchor
+
+@dataclass(frozen=True)
+class Rule:
+    """What has to occur twice: `match` symbols in a row. `context` only decides how anchors are chosen."""
+
+    words: bool
+    match: int
+    context: int
+
+    @property
+    def reach(self) -> int:
+        """Largest distance from a window's start to its anchor; below 256."""
+        return self.match - self.context
+
+    @property
+    def width(self) -> int:
+        """Bytes of a symbol."""
+        return 8 if self.words else 1
+
+
+#: Strings of 400 bytes; passages of 50 words.
+BYTES, PASSAGES = Rule(False, 400, 256), Rule(True, 50, 32)
 #: Text bytes that anchors are looked for in at a time; a chunk needs about 80 times as much memory.
 FIND_BYTES = 2 << 20
 #: Raw bytes of suffixes in one sorted run, and about what one merging task takes.
 RUN_BYTES, MERGE_BYTES = 8 << 20, 8 << 20
-#: A context with more distinct blocks than this is dealt out by ranges of distances, with what these windows share as key.
-HOT_BLOCKS, HOT_PARTS = 4000, 16
-
-
-def anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(document, first window, last window, anchor, hash of context, hash of block); positions in the buffer.
-
-    Texts below MATCH bytes have none."""
-    n, size = len(data), np.diff(off)
-    many = np.maximum(size - MATCH + 1, 0)
+#: A context with more classes of blocks than this is taken apart into single windows.
+HOT_BLOCKS = 4000
+#: Ranges of the suffix order that splitters are sampled for, and sampled places for each; finer tasks than this number
+#: of ranges cut a range by hash, so what the driver holds does not grow with the input.
+RANGES, PLACES = 4096, 32
+
+
+def symbols(data: np.ndarray, off: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of all symbols, offsets in symbols, first byte, end byte) of texts; a word's symbol is the XXH64 of its
+    lowered bytes, big-endian."""
+    if not rule.words:
+        return data, off, np.empty(0, np.int64), np.empty(0, np.int64)
+    low = np.append(LOWERED[data], np.zeros(8, np.uint8))
+    at, start, end = word_places(low[: len(data)], off)
+    return hash_slices(low, start, end - start).astype(">u8").view(np.uint8), at, start, end
+
+
+def word_places(low: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(offsets in words, first byte, end byte) of the words of lowered texts."""
+    start, end, doc = words(WORD[low], off)
+    return np.append(0, np.cumsum(np.bincount(doc, minlength=len(off) - 1))), start, end
+
+
+def anchors(raw: np.ndarray, off: np.ndarray, rule: Rule) -> tuple[np.ndarray, ...]:
+    """(document, first window, last window, anchor, hash of context, digest of block, first four bytes of the suffix);
+    places in symbols. Texts below `match` symbols have none."""
+    n, size, w = int(off[-1]), np.diff(off), rule.width
+    many = np.maximum(size - rule.match + 1, 0)
     if not many.sum():
-        return tuple(np.empty(0, np.int64) for _ in range(6))
-    pad = np.concatenate([data, np.zeros(8, np.uint8)])
-    value = np.ndarray((n,), "<u8", pad.data, 0, (1,)) * np.uint64(0xD6E8FEB86659FD93)
-    width = REACH + 1
-    key = np.full(-(-n // width) * width + width, np.iinfo(np.uint64).max, np.uint64)
+        return tuple(np.empty(0, np.int64) for _ in range(7))
+    pad = np.concatenate([raw, np.zeros(24, np.uint8)])
+    if rule.words:
+        code = pad.view(">u8").astype(np.uint64)
+        gram = code[:n] + code[1 : n + 1] * np.uint64(0xC2B2AE3D27D4EB4F) + code[2 : n + 2] * np.uint64(0x165667B19E3779F9)
+        hashed = SliceHash(codes=code[:n])
+    else:
+        gram = np.ndarray((n,), "<u8", pad.data, 0, (1,))
+        hashed = SliceHash(raw)
+    value = gram * np.uint64(0xD6E8FEB86659FD93)
+    wide = rule.reach + 1
+    key = np.full(-(-n // wide) * wide + wide, np.iinfo(np.uint64).max, np.uint64)
     key[:n] = (value >> np.uint64(32) << np.uint64(32)) | np.arange(n, dtype=np.uint64)  # the first of equal values
-    rows = key.reshape(-1, width)
+    rows = key.reshape(-1, wide)
     ahead = np.minimum.accumulate(rows, axis=1).ravel()
     behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
     start = ranges(off[:-1], many)
     doc = np.repeat(np.arange(len(size)), many)
-    at = (np.minimum(behind[start], ahead[start + REACH]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    at = (np.minimum(behind[start], ahead[start + rule.reach]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
     first = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])))
     last = start[np.append(first[1:], len(start)) - 1]
     at, begin, doc = at[first], start[first], doc[first]
-    hashed = SliceHash(data)
-    shape = ((last - begin) * 1024 + (at - begin)).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return doc, begin, last, at, hashed(at, at + CONTEXT), hashed(begin, last + MATCH) ^ shape
+    head = np.ndarray((len(pad) - 3,), ">u4", pad.data, 0, (1,))[at * w].astype(np.int64) - (1 << 31)
+    return doc, begin, last, at, hashed(at, at + rule.context), digests(pad, begin, last, at, rule), head
+
+
+def digests(pad: np.ndarray, begin: np.ndarray, last: np.ndarray, at: np.ndarray, rule: Rule) -> np.ndarray:
+    """Of blocks: XXH64 of the first and the last window (which cover the block) and the places in it."""
+    w = rule.width
+    ends = [xxh64(pad, x * w, rule.match * w, SEED + k) for k, x in enumerate((begin, last))]
+    return mixed(ends[0] ^ (ends[1] * np.uint64(0x9E3779B97F4A7C15)) ^ (((last - begin) * 1024 + (at - begin)).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)))
 
 
 def pack(begin: np.ndarray, at: np.ndarray, last: np.ndarray, tag: np.ndarray) -> np.ndarray:
-    """First window (31 bits), anchor and last window relative to it (8 each), and 16 bits more of the row's hash."""
+    """First window (31 bits), anchor and last window relative to it (8 each), and 16 bits more of the text's hash."""
     return (((tag & 0xFFFF) << 47) | (begin << 16) | ((at - begin) << 8) | (last - begin)).astype(np.int64)
 
 
@@ -76,14 +129,45 @@ def unpack(pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return begin, begin + ((pos >> 8) & 0xFF), begin + (pos & 0xFF), pos >> 47
 
 
-def _find(batches):
-    for batch in batches:
-        for part, data, off in chunks(batch, "text", FIND_BYTES):
-            doc, begin, last, at, ctx, block = anchors(data, off)
-            base = off[doc]
-            row = part.column("row").to_numpy()[doc]
-            tag = part.column("tag").to_numpy()[doc]
-            yield pa.record_batch({"row": pa.array(row), "pos": pa.array(pack(begin - base, at - base, last - base, tag)), "ctx": pa.array(ctx.view(np.int64)), "block": pa.array(block.view(np.int64))})
+BLOCKS = "row long, pos long, ctx long, block long, head int"
+
+
+def _blocks(row, pos, ctx, block, head) -> pa.RecordBatch:
+    return pa.record_batch({"row": pa.array(row), "pos": pa.array(pos), "ctx": pa.array(ctx.view(np.int64)), "block": pa.array(block.view(np.int64)), "head": pa.array(head.astype(np.int32))})
+
+
+def _find(rule: Rule):
+    def run(batches):
+        for batch in batches:
+            for part, data, off in chunks(batch, "text", FIND_BYTES):
+                raw, off, _, _ = symbols(data, off, rule)
+                doc, begin, last, at, ctx, block, head = anchors(raw, off, rule)
+                base = off[doc]
+                yield _blocks(part.column("row").to_numpy()[doc], pack(begin - base, at - base, last - base, part.column("tag").to_numpy()[doc]), ctx, block, head)
+
+    return run
+
+
+def _windows(rule: Rule):
+    """Texts with the blocks of theirs that are taken apart, to single windows."""
+
+    def run(batches):
+        for batch in batches:
+            for part, data, off in chunks(batch, "text", FIND_BYTES):
+                raw, off, _, _ = symbols(data, off, rule)
+                pad = np.concatenate([raw, np.zeros(24, np.uint8)])
+                held = part.column("entries")
+                entries = held.flatten()
+                doc = np.repeat(np.arange(len(part)), np.diff(held.offsets.to_numpy()))
+                begin, at, last, tag = unpack(entries.field("pos").to_numpy())
+                many = last - begin + 1
+                which = np.repeat(np.arange(len(begin)), many)
+                start = ranges(begin, many)
+                at, tag, base = at[which], tag[which], off[doc[which]]
+                block = digests(pad, start + base, start + base, at + base, rule)
+                yield _blocks(part.column("row").to_numpy()[doc[which]], pack(start, at, start, tag), entries.field("ctx").to_numpy()[which], block, entries.field("head").to_numpy()[which])
+
+    return run
 
 
 def shared_prefix(a: bytes, b: bytes, known: int) -> tuple[bool, int]:
@@ -190,12 +274,14 @@ def read_run(raw: bytes) -> tuple[list[bytes], list[bytes], dict[str, np.ndarray
     return texts, fronts, numbers
 
 
-def _runs(parts: int):
-    """Joined rows (text, entries of its blocks) to sorted runs, one for each merging task and RUN_BYTES of suffixes."""
+def _runs(rule: Rule, splitters: np.ndarray, within: int):
+    """Joined rows (text, entries of its blocks) to sorted runs, one for each merging task and RUN_BYTES of suffixes.
+
+    A task is a range of the suffix order (between splitters of order keys), cut into `within` by a hash. Copies of one
+    text follow each other and are taken once."""
+    w = rule.width
 
     def flush(held):
-        if not held:
-            return
         held.sort(key=lambda e: (e[0], e[1]))
         lo = 0
         for hi in range(1, len(held) + 1):
@@ -206,51 +292,52 @@ def _runs(parts: int):
                 lo = hi
 
     def run(batches):
-        held, size = [], 0
+        held, size, before = [], 0, None
         for batch in batches:
-            data, off = text_view(batch.column("text"))
-            rows = batch.column("row").to_pylist()
-            for i, entries in enumerate(batch.column("entries").to_pylist()):
-                text = data[off[i] : off[i + 1]].tobytes()
-                for e in entries:
-                    begin, at, last, _ = (int(x) for x in unpack(np.int64(e["pos"])))
-                    near, far = at - last, at - begin
-                    step = (REACH + HOT_PARTS) // HOT_PARTS if e["blocks"] > HOT_BLOCKS else REACH + 1
-                    for k in range(near // step, far // step + 1):
-                        lo, hi = max(near, k * step), min(far, k * step + step - 1)
-                        if step > REACH:
-                            task = e["ctx"] % parts
-                        else:  # what all windows of this range of distances share
-                            lo_key, hi_key = k * step, min(REACH, k * step + step - 1)
-                            task = int.from_bytes(hashlib.blake2b(text[at - min(lo_key, far) : at + MATCH - hi_key], digest_size=8).digest(), "little") % parts
-                            if far < lo_key:
-                                continue
-                        held.append((task, text[at : last + MATCH], text[begin:at][::-1], rows[i], e["pos"], e["ctx"], e["block"], e["copies"], lo, hi))
-                        size += last + MATCH - begin
-                    if size >= RUN_BYTES:
-                        yield from flush(held)
-                        held, size = [], 0
+            for part, data, off in chunks(batch, "text"):
+                raw, off, _, _ = symbols(data, off, rule)
+                rows, tags = part.column("row").to_pylist(), part.column("tag").to_pylist()
+                lists = part.column("entries")
+                where, entries = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten()
+                begin, at, last, _ = unpack(entries.field("pos").to_numpy())
+                ctx, block = entries.field("ctx").to_numpy(), entries.field("block").to_numpy()
+                order = entries.field("order").to_numpy()
+                task = np.searchsorted(splitters, order, "right") * within + order % within
+                columns = [x.tolist() for x in (task, begin, at, last, entries.field("pos").to_numpy(), ctx, block, entries.field("copies").to_numpy())]
+                for i in range(len(rows)):
+                    if (rows[i], tags[i]) == before:
+                        continue
+                    before = (rows[i], tags[i])
+                    text = raw[off[i] * w : off[i + 1] * w].tobytes()
+                    for k in range(where[i], where[i + 1]):
+                        t, b, a, z, pos, c, bl, n = (x[k] for x in columns)
+                        held.append((t, text[a * w : (z + rule.match) * w], text[b * w : a * w][::-1], rows[i], pos, c, bl, n, a - z, a - b))
+                        size += (z + rule.match - b) * w
+                        if size >= RUN_BYTES:
+                            yield from flush(held)
+                            held, size = [], 0
         yield from flush(held)
 
     return run
 
 
-def repeated_windows(common: np.ndarray, size: np.ndarray, fronts: list[bytes], near: np.ndarray, far: np.ndarray) -> np.ndarray:
+def repeated_windows(common: np.ndarray, size: np.ndarray, fronts: list[bytes], near: np.ndarray, far: np.ndarray, rule: Rule = BYTES) -> np.ndarray:
     """(suffix, distance) pairs whose window occurs at another suffix as well, as a table of booleans.
 
     common: bytes shared with the suffix before, in sorted order; fronts: what stands before each, backwards."""
-    n = len(size)
+    n, w = len(size), rule.width
     order = sorted(range(n), key=fronts.__getitem__)
-    front_common = neighbours([fronts[i] for i in order])
+    front_common = neighbours([fronts[i] for i in order]) // w
     order = np.array(order)
-    front_size = np.array([len(f) for f in fronts])
-    out = np.zeros((n, REACH + 1), bool)
+    front_size = np.array([len(f) for f in fronts]) // w
+    common, size = common // w, size // w
+    out = np.zeros((n, rule.reach + 1), bool)
     front_class = np.empty(n, np.int64)
     for d in range(int(near.min()), int(far.max()) + 1):
-        on = np.flatnonzero((near <= d) & (d <= far) & (front_size >= d) & (size >= MATCH - d))
+        on = np.flatnonzero((near <= d) & (d <= far) & (front_size >= d) & (size >= rule.match - d))
         if len(on) < 2:
             continue
-        behind = np.cumsum(common < MATCH - d)
+        behind = np.cumsum(common < rule.match - d)
         front_class[order] = np.cumsum(front_common < d)
         key = behind[on] * (n + 1) + front_class[on]
         by = np.argsort(key, kind="stable")
@@ -275,116 +362,192 @@ def merge_runs(raw: list[bytes]) -> tuple[list[bytes], np.ndarray, dict[str, np.
     return [fronts[i] for i in order], np.array(common), {k: np.concatenate([r[2][k] for r in read])[order] for k, _ in FIELDS}
 
 
-def _merge(table: pa.Table) -> pa.Table:
+def _merge(rule: Rule):
     """Runs of distances lo..hi whose windows repeat: of a block (row, pos), or of every block of a class (ctx, block)."""
-    fronts, common, numbers = merge_runs(table.column("run").to_pylist())
-    hit = repeated_windows(common, numbers["size"], fronts, numbers["near"], numbers["far"])
-    edge = np.diff(np.pad(hit.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-    i, lo = np.nonzero(edge == 1)
-    _, hi = np.nonzero(edge == -1)
-    hi = hi - 1
-    one = numbers["copies"][i] == 1
-    keys = {"row": np.where(one, numbers["row"][i], 0), "pos": np.where(one, numbers["pos"][i], 0), "ctx": np.where(one, 0, numbers["ctx"][i]), "block": np.where(one, 0, numbers["block"][i])}
-    return pa.table({k: pa.array(v) for k, v in (keys | {"lo": lo, "hi": hi}).items()} | {"single": pa.array(one)})
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished steps now, not at some later collection of garbage: the second
-    round finds what the first one let go of."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
-def _cut_out(with_text: bool):
-    def run(batches):
-        for batch in batches:
-            for part, data, off in chunks(batch, "text"):
-                out = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
-                for i, spans in enumerate(part.column("spans").to_pylist()):
-                    text = data[off[i] : off[i + 1]].tobytes()
-                    pieces, at, last, n = [], 0, -1, 0
-                    for s in sorted((s["start"], s["end"]) for s in spans or ()):
-                        if s[0] > last:
-                            pieces.append([s[0], s[1]])
-                        else:
-                            pieces[-1][1] = max(pieces[-1][1], s[1])
-                        last = pieces[-1][1]
-                    kept, chars = [], []
-                    for a, b in pieces:
-                        kept.append(text[at:a])
-                        n += b - a
-                        at = b
-                    kept = b"".join([*kept, text[at:]])
-                    if with_text:  # a character that lost a byte goes whole
-                        at = 0
-                        for a, b in pieces:
-                            while a > at and text[a] & 0xC0 == 0x80:
-                                a -= 1
-                            while b < len(text) and text[b] & 0xC0 == 0x80:
-                                b += 1
-                            chars.append(text[at:a])
-                            at = max(at, b)
-                        chars = b"".join([*chars, text[at:]]).decode()
-                    for k, v in zip(out, (len(text), n, len(pieces), hashlib.sha256(kept).hexdigest(), chars if with_text else None), strict=True):
-                        out[k].append(v)
-                types = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.string()}
-                yield pa.record_batch({"id": part.column("id"), "doc": part.column("doc"), **{k: pa.array(v, types[k]) for k, v in out.items()}})
+
+    def run(table: pa.Table) -> pa.Table:
+        fronts, common, numbers = merge_runs(table.column("run").to_pylist())
+        hit = repeated_windows(common, numbers["size"], fronts, numbers["near"], numbers["far"], rule)
+        edge = np.diff(np.pad(hit.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+        i, lo = np.nonzero(edge == 1)
+        _, hi = np.nonzero(edge == -1)
+        hi = hi - 1
+        one = numbers["copies"][i] == 1
+        keys = {"row": np.where(one, numbers["row"][i], 0), "pos": np.where(one, numbers["pos"][i], 0), "ctx": np.where(one, 0, numbers["ctx"][i]), "block": np.where(one, 0, numbers["block"][i])}
+        return pa.table({k: pa.array(v) for k, v in (keys | {"lo": lo, "hi": hi}).items()} | {"single": pa.array(one)})
 
     return run
 
 
-def _hits(rows: DataFrame, able: DataFrame) -> DataFrame:
+def _classes(blocks: DataFrame, hot: bool) -> DataFrame:
+    """Blocks with one digest. order: the first four bytes of the suffix, then bits of the context, or of a single
+    window of a context that was taken apart, so that splitters can cut such a context too."""
+    order = F.shiftleft(F.col("head").cast("long"), 32).bitwiseOR(F.shiftrightunsigned("block" if hot else "ctx", 32))
+    one, two = (f(F.struct("row", "pos")) for f in (F.min, F.max))
+    made = blocks.groupBy("ctx", "block").agg(F.first("head").alias("head"), F.count("*").alias("copies"), one.alias("one"), two.alias("two"))
+    return made.select("ctx", "block", "copies", "one", "two", order.alias("order"))
+
+
+def _entries(keyed: DataFrame, *entry) -> DataFrame:
+    return keyed.groupBy("row", "tag").agg(F.collect_list(F.struct(*entry)).alias("entries"))
+
+
+def _apart(rows: DataFrame, able: DataFrame, hot: DataFrame, rule: Rule) -> DataFrame:
+    """The blocks of hot contexts as blocks of one window each."""
+    texts = able.join(hot, "ctx").select("row", F.shiftrightunsigned("pos", 47).alias("tag"), "pos", "ctx", "head").distinct()
+    return cut(rows.join(_entries(texts, "pos", "ctx", "head"), ["row", "tag"]).select("row", "tag", "text", "entries").mapInArrow(lean(_windows(rule)), BLOCKS), "windows")
+
+
+def _hits(rows: DataFrame, able: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     """What the merge finds of the candidate blocks; see _merge()."""
-    spark = rows.sparkSession
-    classes = cut(able.groupBy("ctx", "block").agg(F.count("*").alias("copies"), F.min(F.struct("row", "pos")).alias("one"), F.max(F.struct("row", "pos")).alias("two")), "blocks")
-    hot = cut(classes.groupBy("ctx").agg(F.count("*").alias("blocks")).where(F.col("blocks") > HOT_BLOCKS), "hot")
     n, doubles = classes.agg(F.count("*"), F.count_if(F.col("copies") > 1)).first()
-    release(spark)
-    parts = max(1, -(-(n + doubles) * (MATCH + REACH // 2) // MERGE_BYTES))
-    sent = classes.select("ctx", "block", "copies", F.explode(F.when(F.col("copies") > 1, F.array("one", "two")).otherwise(F.array("one"))).alias("o"))
-    entry = F.struct(F.col("o.pos").alias("pos"), "ctx", "block", "copies", F.coalesce("blocks", F.lit(0)).alias("blocks"))
-    entries = sent.join(hot, "ctx", "left").select(F.col("o.row").alias("row"), F.shiftright("o.pos", 47).alias("tag"), entry.alias("e")).groupBy("row", "tag").agg(F.collect_list("e").alias("entries"))
-    made = rows.join(entries, ["row", "tag"]).select("row", "text", "entries").mapInArrow(lean(_runs(parts)), "task long, run binary")
-    with batch_rows(spark, 64):
-        hits = cut(made.groupBy("task").applyInArrow(_merge, "row long, pos long, ctx long, block long, lo long, hi long, single boolean"), "hits")
-    drop(classes)
-    drop(hot)
-    return hits
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
-    """id, n_bytes, n_removed, n_spans, kept_sha256 and, with carry, the kept text and `doc`, all other columns.
-
-    Whole texts as UTF-8 bytes; null is empty. Rows are told apart by 80 bits of hashes of id and text; repeated rows
-    with one id and text share their result, and repeat each other's strings. The kept text loses whole characters
-    where a byte of them goes, the digest is of the exact bytes. An empty table gives an empty result.
-    """
-    spark = docs.sparkSession
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), (others(docs, text_col) if carry else F.lit(0)).alias("doc"), F.xxhash64(F.col(id_col), text).alias("row"), (F.xxhash64(text) % 65536).bitwiseAND(F.lit(65535)).alias("tag"))
-    found = cut(rows.select("row", "tag", "text").mapInArrow(lean(_find), "row long, pos long, ctx long, block long"), "anchors")
+    parts = max(1, -(-(n + doubles) * (rule.match + rule.reach // 2) * rule.width // MERGE_BYTES))
+    found = min(parts, RANGES)
+    splitters = np.empty(0, np.int64)
+    if found > 1:
+        share = min(1 << 20, -(-(found * PLACES << 20) // n))
+        places = classes.where(F.pmod(F.xxhash64("ctx", "block"), F.lit(1 << 20)) < share).select("order").toArrow().column("order").to_numpy()
+        if len(places):
+            splitters = np.unique(np.sort(places)[(np.arange(1, found) * len(places)) // found])
+    sent = classes.select("ctx", "block", "copies", "order", F.explode(F.when(F.col("copies") > 1, F.array("one", "two")).otherwise(F.array("one"))).alias("o"))
+    entries = _entries(sent.select(F.col("o.row").alias("row"), F.shiftrightunsigned("o.pos", 47).alias("tag"), F.col("o.pos").alias("pos"), "ctx", "block", "copies", "order"), "pos", "ctx", "block", "copies", "order")
+    made = rows.join(entries, ["row", "tag"]).select("row", "tag", "text", "entries").mapInArrow(lean(_runs(rule, splitters, -(-parts // found))), "task long, run binary")
+    with batch_rows(rows.sparkSession, 64):
+        return cut(made.groupBy("task").applyInArrow(_merge(rule), "row long, pos long, ctx long, block long, lo long, hi long, single boolean"), "hits")
+
+
+def find_repeats(rows: DataFrame, rule: Rule) -> DataFrame:
+    """(row, tag, start, end), each once: the strings of texts that repeat, in symbols. rows: row, tag, text."""
+    found = cut(rows.mapInArrow(lean(_find(rule)), BLOCKS), "anchors")
     twice = cut(found.groupBy("ctx").agg(F.count("*").alias("n")).where("n > 1").select("ctx"), "contexts")
-    release(spark)
     able = cut(found.join(twice, "ctx"), "candidates")  # twice is a table of its own: Spark can then split a frequent context
     drop(found)
     drop(twice)
-    release(spark)
-    hits = _hits(rows.select("row", "tag", "text"), able)
-    release(spark)
+    classes = cut(_classes(able, False), "blocks")
+    hot = cut(classes.groupBy("ctx").agg(F.count("*").alias("n")).where(F.col("n") > HOT_BLOCKS).select("ctx"), "hot")
+    if not hot.isEmpty():
+        apart = _apart(rows, able, hot, rule)
+        able = able.join(hot, "ctx", "left_anti").unionByName(apart)
+        repeated = cut(_classes(apart, True).where("copies > 1"), "repeated")
+        classes = classes.join(hot, "ctx", "left_anti").unionByName(repeated)
+    hits = _hits(rows, able, classes, rule)
     several = hits.where("NOT single").select("ctx", "block", "lo", "hi").distinct()
     both = hits.where("single").select("row", "pos", "lo", "hi").unionByName(able.join(several, ["ctx", "block"]).select("row", "pos", "lo", "hi"))
     anchor = F.shiftright("pos", 16).bitwiseAND(F.lit(0x7FFFFFFF)) + F.shiftright("pos", 8).bitwiseAND(F.lit(0xFF))
-    spans = both.select("row", F.shiftright("pos", 47).alias("tag"), (anchor - F.col("hi")).alias("start"), (anchor - F.col("lo") + MATCH).alias("end"))
-    lists = spans.groupBy("row", "tag").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    run = _cut_out(carry)
-    out = rows.join(lists, ["row", "tag"], "left").select("id", "doc", "text", "spans").mapInArrow(lean(run), layout(rows, ["id", "doc"], "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"))
-    return out.withColumnRenamed("id", id_col) if carry else out.drop("kept", "doc").withColumnRenamed("id", id_col)
+    return both.select("row", F.shiftrightunsigned("pos", 47).alias("tag"), (anchor - F.col("hi")).alias("start"), (anchor - F.col("lo") + rule.match).alias("end")).distinct()
+
+
+def joined_runs(spans) -> list[list[int]]:
+    """Maximal runs of (start, end) pairs that touch or overlap."""
+    out: list[list[int]] = []
+    for start, end in sorted(spans):
+        if out and start <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], end)
+        else:
+            out.append([start, end])
+    return out
+
+
+def left_over(text: bytes, gone: list[list[int]]) -> bytes:
+    kept, at = [], 0
+    for a, b in gone:
+        kept.append(text[at : max(a, at)])
+        at = max(at, b)
+    return b"".join([*kept, text[at:]])
+
+
+def whole_characters(text: bytes, gone: list[list[int]]) -> list[list[int]]:
+    """The runs, with the rest of each character that lost a byte."""
+    out = []
+    for a, b in gone:
+        while a and text[a] & 0xC0 == 0x80:
+            a -= 1
+        while b < len(text) and text[b] & 0xC0 == 0x80:
+            b += 1
+        out.append([a, b])
+    return out
+
+
+def _pairs(spans):
+    return [(s["start"], s["end"]) for s in spans or ()]
+
+
+def _cut_out(rule: Rule | None, keep: Rule | None):
+    """rule: of the counts and the digest; keep: of the text that is left."""
+
+    def run(batches):
+        for batch in batches:
+            for part, data, off in chunks(batch, "text"):
+                out: dict[str, list] = {k: [] for k in RESULT}
+                by_byte = part.column("spans_byte").to_pylist() if BYTES in (rule, keep) else [None] * len(part)
+                by_word = part.column("spans_word").to_pylist() if PASSAGES in (rule, keep) else [None] * len(part)
+                if any(by_word):
+                    at, first, end = word_places(LOWERED[data], off)
+                for i in range(len(part)):
+                    text = data[off[i] : off[i + 1]].tobytes()
+                    gone = joined_runs(_pairs(by_byte[i]))
+                    out["n_bytes"].append(len(text))
+                    out["n_removed"].append(sum(b - a for a, b in gone))
+                    out["n_spans"].append(len(gone))
+                    out["kept_sha256"].append(hashlib.sha256(left_over(text, gone)).hexdigest() if rule else None)
+                    passages = joined_runs(_pairs(by_word[i]))
+                    out["n_passages"].append(len(passages))
+                    out["n_passage_words"].append(sum(b - a for a, b in passages))
+                    if keep is not None:
+                        if keep.words:  # up to the next word that stays, or the end of the last
+                            of = at[i : i + 2] if passages else ()
+                            gone = [[int(first[of[0] + a] - off[i]), int((first[of[0] + b] if of[0] + b < of[1] else end[of[1] - 1]) - off[i])] for a, b in passages]
+                        else:
+                            gone = whole_characters(text, gone)
+                        out["kept"].append(left_over(text, gone).decode())
+                    else:
+                        out["kept"].append(None)
+                yield pa.record_batch({"id": part.column("id"), "doc": part.column("doc"), **{k: pa.array(v, pa.string() if k in ("kept_sha256", "kept") else pa.int64()) for k, v in out.items()}})
+
+    return run
+
+
+RESULT = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string", "n_passages": "long", "n_passage_words": "long", "kept": "string"}
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str, carry: bool) -> DataFrame:
+    """id, text, doc (all other columns if carried), and the 80 bits that stand for the text: row and tag."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).alias("id"), text.alias("text"), (others(docs, text_col) if carry else F.lit(0)).alias("doc"), F.xxhash64(text).alias("row"), F.xxhash64(F.lit(1), text).bitwiseAND(F.lit(65535)).alias("tag"))
+
+
+def _without(docs: DataFrame, id_col: str, text_col: str, rule: Rule | None, keep: Rule | None, carry: bool) -> DataFrame:
+    rows = keyed(docs, id_col, text_col, carry)
+    joined = rows
+    for kind in dict.fromkeys(x for x in (rule, keep) if x):
+        name = "spans_word" if kind.words else "spans_byte"
+        lists = find_repeats(rows.select("row", "tag", "text"), kind).groupBy("row", "tag").agg(F.collect_list(F.struct("start", "end")).alias(name))
+        joined = joined.join(lists, ["row", "tag"], "left")
+    fields = layout(rows, ["id", "doc"], ", ".join(f"{k} {t}" for k, t in RESULT.items()))
+    return joined.drop("row", "tag").mapInArrow(lean(_cut_out(rule, keep)), fields).withColumnRenamed("id", id_col)
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_bytes, n_removed, n_spans, kept_sha256 of every row: strings of 400 bytes that start anywhere else go.
+
+    Whole texts as UTF-8 bytes; null is empty, and texts below 400 bytes stay as they are. Texts are told apart by 80
+    bits of their XXH64. Repeated rows, with one id or not, repeat each other's strings, so their texts go as a whole;
+    each row has its result. Other columns are never read. An empty table gives an empty result.
+    """
+    return _without(docs, id_col, text_col, BYTES, None, False).select(id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def repeat_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The columns of remove_repeats(), then what the same search finds of passages of 50 words, whatever their case
+    and punctuation: n_passages, n_passage_words, and the text without them."""
+    return _without(docs, id_col, text_col, BYTES, PASSAGES, False).drop("doc").withColumnRenamed("kept", text_col)
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
-    """All rows with what remains of their texts (empty if nothing does); a column of lengths is kept true."""
-    out = remove_repeats(docs, id_col, text_col, carry=True)
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", rule: Rule = BYTES) -> DataFrame:
+    """All rows with what remains of their texts (empty if nothing does, null becomes empty); a column of lengths is kept
+    true. Of bytes, characters that lose one go whole; of words, a passage goes up to the next word that stays. Repeated
+    rows all stay, each with what is left of it; ties cannot occur, an empty table stays empty, other columns travel
+    inside one struct."""
+    out = _without(docs, id_col, text_col, None if rule.words else rule, rule, True)
     new = {text_col: F.col("kept")} | ({chars_col: F.length("kept").cast(docs.schema[chars_col].dataType)} if chars_col in docs.columns else {})
     return restored(out, docs, text_col, **new)
