@@ -437,15 +437,17 @@ def find_repeats(rows: DataFrame, rule: Rule) -> DataFrame:
     return both.select("row", F.shiftrightunsigned("pos", 47).alias("tag"), (anchor - F.col("hi")).alias("start"), (anchor - F.col("lo") + rule.match).alias("end")).distinct()
 
 
-def joined_runs(spans) -> list[list[int]]:
-    """Maximal runs of (start, end) pairs that touch or overlap."""
-    out: list[list[int]] = []
-    for start, end in sorted(spans):
-        if out and start <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], end)
-        else:
-            out.append([start, end])
-    return out
+def joined_runs(lists: pa.ListArray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end) of the maximal runs of each row's strings, which touch or overlap; size: symbols of a row."""
+    packed, many = lists.flatten().to_numpy(), lists.value_lengths().fill_null(0).to_numpy()
+    row = np.repeat(np.arange(len(many)), many)
+    base = np.cumsum(size + 1) - (size + 1)  # a gap between rows, so that runs end with their row
+    start, end = (packed >> 31) + base[row], (packed & 0x7FFFFFFF) + base[row]
+    order = np.argsort(start, kind="stable")
+    row, start, end = row[order], start[order], np.maximum.accumulate(end[order])
+    new = np.flatnonzero(np.append(True, start[1:] > end[:-1])) if len(row) else np.empty(0, np.int64)
+    last = np.append(new[1:], len(row)) - 1 if len(new) else new
+    return row[new], start[new] - base[row[new]], end[last] - base[row[new]]
 
 
 def left_over(text: bytes, gone: list[list[int]]) -> bytes:
@@ -468,41 +470,33 @@ def whole_characters(text: bytes, gone: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def _pairs(spans):
-    return [(s["start"], s["end"]) for s in spans or ()]
-
-
 def _cut_out(rule: Rule | None, keep: Rule | None):
     """rule: of the counts and the digest; keep: of the text that is left."""
 
     def run(batches):
         for batch in batches:
             for part, data, off in chunks(batch, "text"):
-                out: dict[str, list] = {k: [] for k in RESULT}
-                by_byte = part.column("spans_byte").to_pylist() if BYTES in (rule, keep) else [None] * len(part)
-                by_word = part.column("spans_word").to_pylist() if PASSAGES in (rule, keep) else [None] * len(part)
-                if any(by_word):
-                    at, first, end = word_places(LOWERED[data], off)
-                for i in range(len(part)):
+                n, size = len(part), np.diff(off)
+                row, begin, end = joined_runs(part.column("spans_byte"), size)
+                gone: list[list[list[int]]] = [[] for _ in range(n)]
+                for i, a, b in zip(row.tolist(), begin.tolist(), end.tolist(), strict=True):
+                    gone[i].append([a, b])
+                out = {"n_bytes": size, "n_removed": np.bincount(row, end - begin, n).astype(np.int64), "n_spans": np.bincount(row, minlength=n)}
+                lists = part.column("spans_word")
+                at, first, last = word_places(LOWERED[data], off) if len(lists.flatten()) else (np.zeros(n + 1, np.int64), off, off)
+                row, begin, end = joined_runs(lists, np.diff(at))
+                out |= {"n_passages": np.bincount(row, minlength=n), "n_passage_words": np.bincount(row, end - begin, n).astype(np.int64)}
+                passages: list[list[list[int]]] = [[] for _ in range(n)]
+                for i, a, b in zip(row.tolist(), begin.tolist(), end.tolist(), strict=True):  # up to the next word that stays, or the end of the last
+                    stop = first[at[i] + b] if at[i] + b < at[i + 1] else last[at[i + 1] - 1]
+                    passages[i].append([int(first[at[i] + a] - off[i]), int(stop - off[i])])
+                digest, kept = [], []
+                for i in range(n):
                     text = data[off[i] : off[i + 1]].tobytes()
-                    gone = joined_runs(_pairs(by_byte[i]))
-                    out["n_bytes"].append(len(text))
-                    out["n_removed"].append(sum(b - a for a, b in gone))
-                    out["n_spans"].append(len(gone))
-                    out["kept_sha256"].append(hashlib.sha256(left_over(text, gone)).hexdigest() if rule else None)
-                    passages = joined_runs(_pairs(by_word[i]))
-                    out["n_passages"].append(len(passages))
-                    out["n_passage_words"].append(sum(b - a for a, b in passages))
-                    if keep is not None:
-                        if keep.words:  # up to the next word that stays, or the end of the last
-                            of = at[i : i + 2] if passages else ()
-                            gone = [[int(first[of[0] + a] - off[i]), int((first[of[0] + b] if of[0] + b < of[1] else end[of[1] - 1]) - off[i])] for a, b in passages]
-                        else:
-                            gone = whole_characters(text, gone)
-                        out["kept"].append(left_over(text, gone).decode())
-                    else:
-                        out["kept"].append(None)
-                yield pa.record_batch({"id": part.column("id"), "doc": part.column("doc"), **{k: pa.array(v, pa.string() if k in ("kept_sha256", "kept") else pa.int64()) for k, v in out.items()}})
+                    digest.append(hashlib.sha256(left_over(text, gone[i])).hexdigest() if rule else None)
+                    kept.append(left_over(text, passages[i] if keep.words else whole_characters(text, gone[i])) if keep else None)
+                made = {k: pa.array(v, pa.int64()) for k, v in out.items()} | {"kept_sha256": pa.array(digest, pa.string()), "kept": pa.array(kept, pa.binary()).cast(pa.string())}
+                yield pa.record_batch({"id": part.column("id"), "doc": part.column("doc"), **{k: made[k] for k in RESULT}})
 
     return run
 
@@ -518,11 +512,11 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, carry: bool) -> DataFrame
 
 def _without(docs: DataFrame, id_col: str, text_col: str, rule: Rule | None, keep: Rule | None, carry: bool) -> DataFrame:
     rows = keyed(docs, id_col, text_col, carry)
-    joined = rows
-    for kind in dict.fromkeys(x for x in (rule, keep) if x):
-        name = "spans_word" if kind.words else "spans_byte"
-        lists = find_repeats(rows.select("row", "tag", "text"), kind).groupBy("row", "tag").agg(F.collect_list(F.struct("start", "end")).alias(name))
-        joined = joined.join(lists, ["row", "tag"], "left")
+    both = [find_repeats(rows.select("row", "tag", "text"), x).select("row", "tag", F.lit(x.words).alias("words"), (F.shiftleft("start", 31) + F.col("end")).alias("span")) for x in dict.fromkeys(x for x in (rule, keep) if x)]
+    spans = both[0] if len(both) == 1 else both[0].unionByName(both[1])
+    of = lambda words: F.collect_list(F.when(F.col("words") == words, F.col("span")))
+    lists = spans.groupBy("row", "tag").agg(of(False).alias("spans_byte"), of(True).alias("spans_word"))
+    joined = rows.join(lists, ["row", "tag"], "left")
     fields = layout(rows, ["id", "doc"], ", ".join(f"{k} {t}" for k, t in RESULT.items()))
     return joined.drop("row", "tag").mapInArrow(lean(_cut_out(rule, keep)), fields).withColumnRenamed("id", id_col)
 
