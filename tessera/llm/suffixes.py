@@ -51,8 +51,8 @@ class Rule:
         return 8 if self.words else 1
 
 
-#: Strings of 400 bytes; passages of 50 words.
-BYTES, PASSAGES = Rule(False, 400, 256), Rule(True, 50, 32)
+#: Strings of 400 bytes; passages of 50 words. Shorter contexts leave fewer anchors, at a reach below 256.
+BYTES, PASSAGES = Rule(False, 400, 160), Rule(True, 50, 18)
 #: Text bytes that anchors are looked for in at a time; a chunk needs about 80 times as much memory.
 FIND_BYTES = 2 << 20
 #: Raw bytes of suffixes in one sorted run, and about what one merging task takes.
@@ -410,20 +410,24 @@ def _hits(rows: DataFrame, able: DataFrame, classes: DataFrame, rule: Rule) -> D
         if len(places):
             splitters = np.unique(np.sort(places)[(np.arange(1, found) * len(places)) // found])
     sent = classes.select("ctx", "block", "copies", "order", F.explode(F.when(F.col("copies") > 1, F.array("one", "two")).otherwise(F.array("one"))).alias("o"))
-    entries = _entries(sent.select(F.col("o.row").alias("row"), F.shiftrightunsigned("o.pos", 47).alias("tag"), F.col("o.pos").alias("pos"), "ctx", "block", "copies", "order"), "pos", "ctx", "block", "copies", "order")
+    placed = sent.select(F.col("o.row").alias("row"), F.shiftrightunsigned("o.pos", 47).alias("tag"), F.col("o.pos").alias("pos"), "ctx", "block", "copies", "order")
+    entries = cut(_entries(placed, "pos", "ctx", "block", "copies", "order"), "entries")  # a table of its own: Spark can then split a text that many rows have
     made = rows.join(entries, ["row", "tag"]).select("row", "tag", "text", "entries").mapInArrow(lean(_runs(rule, splitters, -(-parts // found))), "task long, run binary")
     with batch_rows(rows.sparkSession, 64):
-        return cut(made.groupBy("task").applyInArrow(_merge(rule), "row long, pos long, ctx long, block long, lo long, hi long, single boolean"), "hits")
+        hits = cut(made.groupBy("task").applyInArrow(_merge(rule), "row long, pos long, ctx long, block long, lo long, hi long, single boolean"), "hits")
+    drop(entries)
+    return hits
 
 
 def find_repeats(rows: DataFrame, rule: Rule) -> DataFrame:
-    """(row, tag, start, end), each once: the strings of texts that repeat, in symbols. rows: row, tag, text."""
+    """(row, tag, start, end): the strings of texts that repeat, in symbols; some may come twice. rows: row, tag, text."""
+    rows = rows.where(F.octet_length("text") >= (2 * rule.match - 1 if rule.words else rule.match))
     found = cut(rows.mapInArrow(lean(_find(rule)), BLOCKS), "anchors")
     twice = cut(found.groupBy("ctx").agg(F.count("*").alias("n")).where("n > 1").select("ctx"), "contexts")
     able = cut(found.join(twice, "ctx"), "candidates")  # twice is a table of its own: Spark can then split a frequent context
     drop(found)
     drop(twice)
-    classes = cut(_classes(able, False), "blocks")
+    classes = classes_table = cut(_classes(able, False), "blocks")
     hot = cut(classes.groupBy("ctx").agg(F.count("*").alias("n")).where(F.col("n") > HOT_BLOCKS).select("ctx"), "hot")
     if not hot.isEmpty():
         apart = _apart(rows, able, hot, rule)
@@ -431,10 +435,11 @@ def find_repeats(rows: DataFrame, rule: Rule) -> DataFrame:
         repeated = cut(_classes(apart, True).where("copies > 1"), "repeated")
         classes = classes.join(hot, "ctx", "left_anti").unionByName(repeated)
     hits = _hits(rows, able, classes, rule)
+    drop(classes_table)
     several = hits.where("NOT single").select("ctx", "block", "lo", "hi").distinct()
     both = hits.where("single").select("row", "pos", "lo", "hi").unionByName(able.join(several, ["ctx", "block"]).select("row", "pos", "lo", "hi"))
     anchor = F.shiftright("pos", 16).bitwiseAND(F.lit(0x7FFFFFFF)) + F.shiftright("pos", 8).bitwiseAND(F.lit(0xFF))
-    return both.select("row", F.shiftrightunsigned("pos", 47).alias("tag"), (anchor - F.col("hi")).alias("start"), (anchor - F.col("lo") + rule.match).alias("end")).distinct()
+    return both.select("row", F.shiftrightunsigned("pos", 47).alias("tag"), (anchor - F.col("hi")).alias("start"), (anchor - F.col("lo") + rule.match).alias("end"))
 
 
 def joined_runs(lists: pa.ListArray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -514,8 +519,8 @@ def _without(docs: DataFrame, id_col: str, text_col: str, rule: Rule | None, kee
     rows = keyed(docs, id_col, text_col, carry)
     both = [find_repeats(rows.select("row", "tag", "text"), x).select("row", "tag", F.lit(x.words).alias("words"), (F.shiftleft("start", 31) + F.col("end")).alias("span")) for x in dict.fromkeys(x for x in (rule, keep) if x)]
     spans = both[0] if len(both) == 1 else both[0].unionByName(both[1])
-    of = lambda words: F.collect_list(F.when(F.col("words") == words, F.col("span")))
-    lists = spans.groupBy("row", "tag").agg(of(False).alias("spans_byte"), of(True).alias("spans_word"))
+    of = lambda words: F.collect_set(F.when(F.col("words") == words, F.col("span")))  # noqa: E731  copies of a text have one set
+    lists = cut(spans.groupBy("row", "tag").agg(of(False).alias("spans_byte"), of(True).alias("spans_word")), "strings")
     joined = rows.join(lists, ["row", "tag"], "left")
     fields = layout(rows, ["id", "doc"], ", ".join(f"{k} {t}" for k, t in RESULT.items()))
     return joined.drop("row", "tag").mapInArrow(lean(_cut_out(rule, keep)), fields).withColumnRenamed("id", id_col)
