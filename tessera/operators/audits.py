@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.stats import close, cosine_rate
@@ -25,10 +25,18 @@ def count_tokens(rows: DataFrame, text_col: str, encode: Callable[[list[str]], l
 
 
 def length_audit(rows: DataFrame, limit: int, column: str = "n_tokens", *by: str) -> DataFrame:
-    """Count, minimum, nearest-rank percentiles, maximum and how many are over the limit."""
-    ranks = F.percentile_approx(column, F.array(*map(F.lit, FRACTIONS)), F.lit(1_000_000))  # exact up to the accuracy's number of rows
-    out = rows.groupBy(*by).agg(F.count("*").alias("n"), F.min(column).alias("min"), ranks.alias("q"), F.max(column).alias("max"), F.count_if(F.col(column) > limit).alias("over_limit"))
-    return out.select(*by, "n", "min", *[F.get("q", F.lit(i)).alias(f"p{round(100 * f)}") for i, f in enumerate(FRACTIONS)], "max", "over_limit")
+    """Count, minimum, nearest-rank percentiles, maximum and how many are over the limit; rows of null length do not count.
+
+    Ranks come from the numbers of rows of each length and their running sums, exact at every size."""
+    lengths = rows.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias("length")).agg(F.count("*").alias("k"))
+    window = Window.partitionBy(*by).orderBy("length")
+    upto = F.sum("k").over(window.rowsBetween(Window.unboundedPreceding, 0))
+    ranked = lengths.withColumn("upto", upto).withColumn("whole", F.sum("k").over(Window.partitionBy(*by)))
+    at = lambda f: F.min(F.when(F.col("upto") >= F.greatest(F.ceil(F.lit(f) * F.col("whole")), F.lit(1)), F.col("length")))
+    return ranked.groupBy(*by).agg(
+        F.sum("k").alias("n"), F.min("length").alias("min"), *[at(f).alias(f"p{round(100 * f)}") for f in FRACTIONS], F.max("length").alias("max"),
+        F.coalesce(F.sum(F.when(F.col("length") > limit, F.col("k"))), F.lit(0)).alias("over_limit"),
+    )
 
 
 def triples(rows: DataFrame) -> DataFrame:

@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Components that the subset sum takes; more would mean a table of sizes that no driver should hold.
-MOST_COMPONENTS = 2_000_000
+from tessera.functions.digest import joined_sha
+
 
 
 def subset_of_size(sizes: Sequence[tuple[str, int]], target: int, *salt: str) -> list[str]:
     """Ids whose sizes add up to the target: components enter in digest order, each total remembers the first way to
     reach it, and the search ends with the component that reaches the target. Raises if no subset fits."""
-    order = sorted(sizes, key=lambda c: (hashlib.sha256("\n".join([*salt, c[0]]).encode()).hexdigest(), c[0]))
+    return first_subset(sorted(sizes, key=lambda c: (hashlib.sha256("\n".join([*salt, c[0]]).encode()).hexdigest(), c[0])), target, *salt)
+
+
+def first_subset(order: Iterable[tuple[str, int]], target: int, *salt: str) -> list[str]:
+    """The same of components that come in their order already; no more of them are read than it takes."""
     way: dict[int, tuple[int, str]] = {0: (0, "")}
     for name, size in order:
         if target in way:
@@ -32,18 +36,17 @@ def subset_of_size(sizes: Sequence[tuple[str, int]], target: int, *salt: str) ->
 
 
 def assign_splits(components: DataFrame, targets: dict[str, int], seed: str) -> DataFrame:
-    """components (component_id, size) with the split of each chosen one; the pool shrinks from split to split."""
-    n = components.count()
-    if n > MOST_COMPONENTS:
-        raise ValueError(f"{n} components are more than {MOST_COMPONENTS}")
-    pool = {r[0]: r[1] for r in components.select("component_id", "size").collect()}
-    rows = []
+    """components (component_id, size) with the split of each chosen one; the pool shrinks from split to split.
+
+    Components are sorted by digest on the executors and come to the driver one partition at a time, until the target
+    is reached; the driver holds a way to each total and the chosen ids, both bounded by the targets."""
+    chosen: dict[str, str] = {}
     for split, target in targets.items():
-        for name in subset_of_size(list(pool.items()), target, seed, split):
-            rows.append((name, split))
-            del pool[name]
-    chosen = components.sparkSession.createDataFrame(rows, "component_id string, split string")
-    return components.join(F.broadcast(chosen), "component_id")
+        keyed = components.select("component_id", "size").withColumn("k", joined_sha(seed, split, F.col("component_id")))
+        coming = keyed.orderBy("k", "component_id").toLocalIterator()
+        chosen |= dict.fromkeys(first_subset(((r[0], r[1]) for r in coming if r[0] not in chosen), target, seed, split), split)
+    placed = components.sparkSession.createDataFrame(list(chosen.items()), "component_id string, split string")
+    return components.join(placed, "component_id")
 
 
 def shared_keys(rows: DataFrame, keys_col: str = "leakage_keys", split_col: str = "split") -> DataFrame:

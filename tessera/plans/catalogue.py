@@ -11,7 +11,7 @@ from tessera.functions import stats, text
 from tessera.functions.digest import joined_sha, mod_pair, sha
 from tessera.operators import audits, comparison, donors, probes, scoring, splits
 from tessera.operators.components import key_components
-from tessera.operators.pairing import alias_policy, histogram, reason_counts
+from tessera.operators.pairing import alias_policy, reason_counts
 from tessera.operators.phrases import band_counts, phrase_matches, token_overlaps, without_phrases
 from tessera.operators.ranking import stable_folds, top
 
@@ -129,9 +129,9 @@ def q13_case_reasons(spark, sf):
     return reason_counts(rows.withColumn("reason", F.expr(case)))
 
 
-@query("SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
 def q14_reserve_ledger(spark, sf):
-    taken = read(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    taken = read(spark, sf, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
     return splits.reserve_ledger(read(spark, sf, "customer").select("c_custkey", "c_nationkey"), taken, "c_custkey")
 
 
@@ -144,11 +144,16 @@ def q15_components(spark, sf):
     return key_components(read(spark, sf, "documents").select("doc_id", F.transform(lines, lambda x: sha(x)).alias("keys")), "doc_id", "keys")
 
 
-@query("SELECT split, count(*) // n AS n FROM (SELECT 1 FROM orders), (VALUES ('train', 4), ('dev', 10), ('shadow', 10)) AS t(split, n) GROUP BY split, n")
+@query("SELECT split, count(*) // n AS n, 0 AS cut_components, 0 AS in_two_splits FROM (SELECT 1 FROM orders), (VALUES ('train', 4), ('dev', 10), ('shadow', 10)) AS t(split, n) GROUP BY split, n")
 def q16_exact_split(spark, sf):
-    sizes = read(spark, sf, "orders").groupBy(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("component_id")).agg(F.count("*").cast("int").alias("size"))
-    n = sizes.agg(F.sum("size")).first()[0]
-    return splits.assign_splits(sizes, {"train": n // 4, "dev": n // 10, "shadow": n // 10}, "seed").groupBy("split").agg(F.sum("size").alias("n"))
+    """Rows of each split, counted again from the orders of its customers: components that lie in it in part, or in two."""
+    orders = read(spark, sf, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("component_id"))
+    sizes = orders.groupBy("component_id").agg(F.count("*").cast("int").alias("size"))
+    n = orders.count()
+    placed = splits.assign_splits(sizes, {"train": n // 4, "dev": n // 10, "shadow": n // 10}, "seed")
+    by = orders.join(placed, "component_id").groupBy("component_id", "split", "size").agg(F.count("*").alias("rows"))
+    twice = by.groupBy("component_id").agg(F.count_distinct("split").alias("splits"))
+    return by.join(twice, "component_id").groupBy("split").agg(F.sum("rows").alias("n"), F.count_if(F.col("rows") != F.col("size")).alias("cut_components"), F.count_if(F.col("splits") > 1).alias("in_two_splits"))
 
 
 @query("WITH k AS (SELECT DISTINCT ['train', 'dev', 'shadow'][doc_id % 3 + 1] AS split, sha256(text) AS key FROM documents) SELECT a.split AS first, b.split AS second, count(*) AS n FROM k a JOIN k b ON a.key = b.key AND a.split < b.split GROUP BY ALL")
@@ -342,11 +347,6 @@ def q34_slot_overwrite(spark, sf):
     return by.select("l_orderkey", F.array_join(shown, ",").alias("slots"))
 
 
-@query("SELECT s AS step, round(CASE WHEN s < 8 THEN 2e-4 * s / 8 ELSE 2e-4 * 0.5 * (1 + cos(pi() * (s - 8) / 232)) END, 12) AS rate FROM range(241) AS t(s)")
-def q35_ledger_check(spark, sf):
-    return spark.range(241).select(F.col("id").alias("step"), F.round(stats.cosine_rate(F.col("id")), 12).alias("rate"))
-
-
 @query(f"WITH p AS (SELECT n, [said] AS c, [reply] AS m, list_distinct([array_to_string({TOK('said')}, ' ')]) AS nc, list_distinct([array_to_string({TOK('reply')}, ' ')]) AS nm FROM ({PAIRS_SQL}) WHERE said IS NOT NULL AND reply IS NOT NULL), e AS (SELECT n, c <> m AS other, (NOT list_contains(nc, nm[1]))::INT AS om, (NOT list_contains(nm, nc[1]))::INT AS oc FROM p) SELECT n, count(*) FILTER (other) AS different_lists, count(*) FILTER (om > 0) AS missing_only_rows, sum(om)::BIGINT AS missing_only_values, count(*) FILTER (oc > 0) AS complete_only_rows, sum(oc)::BIGINT AS complete_only_values FROM e GROUP BY n")
 def q36_alias_policy(spark, sf):
     rows = turn_pairs(spark, sf).where("said IS NOT NULL AND reply IS NOT NULL")
@@ -360,12 +360,6 @@ def q37_invariants(spark, sf):
     return by.agg(F.count("*").alias("conversations"), F.count_if(F.expr("low = 0")).alias("start_at_0"), F.count_if(F.expr("high = n - 1 AND turns = n")).alias("consecutive"), F.count_if(F.expr("blank = 0")).alias("no_blank"))
 
 
-@query("WITH l AS (SELECT doc_id, label FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS label FROM documents)), s AS (SELECT label, count(*) AS size FROM l GROUP BY 1) SELECT size::VARCHAR AS value, count(*) AS n FROM s GROUP BY 1")
-def q38_component_histogram(spark, sf):
-    sizes = read(spark, sf, "documents").groupBy(sha("text").alias("k")).agg(F.count("*").alias("size"))
-    return histogram(sizes, "size")
-
-
 @query("SELECT doc_id, (row_number() OVER (ORDER BY sha256('17' || chr(10) || doc_id), doc_id) - 1) // 8 AS batch FROM documents")
 def q39_schedule(spark, sf):
     plan = audits.schedule(read(spark, sf, "documents"), "doc_id")

@@ -5,6 +5,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+import tessera.plans.flagship  # noqa: F401  registers the queries of the build
 from tessera.plans.catalogue import ORACLE, QUERIES
 
 DATA = Path("/root/testdata/sf0.001")
