@@ -59,6 +59,8 @@ FIND_BYTES = 2 << 20
 RUN_BYTES, MERGE_BYTES = 8 << 20, 8 << 20
 #: A context with more classes of blocks than this is taken apart into single windows.
 HOT_BLOCKS = 4000
+#: Bits that mark these contexts; the driver holds the places of set bits.
+HOT_BITS = 1 << 22
 #: Ranges of the suffix order that splitters are sampled for, and sampled places for each; finer tasks than this number
 #: of ranges cut a range by hash, so what the driver holds does not grow with the input.
 RANGES, PLACES = 4096, 32
@@ -148,24 +150,22 @@ def _find(rule: Rule):
     return run
 
 
-def _windows(rule: Rule):
-    """Texts with the blocks of theirs that are taken apart, to single windows."""
+def _windows(rule: Rule, hot: np.ndarray):
+    """The blocks whose context's bit is set in `hot`, as blocks of one window each."""
 
     def run(batches):
         for batch in batches:
             for part, data, off in chunks(batch, "text", FIND_BYTES):
                 raw, off, _, _ = symbols(data, off, rule)
-                pad = np.concatenate([raw, np.zeros(24, np.uint8)])
-                held = part.column("entries")
-                entries = held.flatten()
-                doc = np.repeat(np.arange(len(part)), np.diff(held.offsets.to_numpy()))
-                begin, at, last, tag = unpack(entries.field("pos").to_numpy())
-                many = last - begin + 1
-                which = np.repeat(np.arange(len(begin)), many)
-                start = ranges(begin, many)
-                at, tag, base = at[which], tag[which], off[doc[which]]
-                block = digests(pad, start + base, start + base, at + base, rule)
-                yield _blocks(part.column("row").to_numpy()[doc[which]], pack(start, at, start, tag), entries.field("ctx").to_numpy()[which], block, entries.field("head").to_numpy()[which])
+                doc, begin, last, at, ctx, _, head = anchors(raw, off, rule)
+                bit = ctx.view(np.uint64) & np.uint64(HOT_BITS - 1)
+                own = np.flatnonzero(hot[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1)
+                many = (last - begin + 1)[own]
+                which = np.repeat(own, many)
+                start = ranges(begin[own], many)
+                doc, at, base = doc[which], at[which], off[doc[which]]
+                block = digests(np.concatenate([raw, np.zeros(24, np.uint8)]), start, start, at, rule)
+                yield _blocks(part.column("row").to_numpy()[doc], pack(start - base, at - base, start - base, part.column("tag").to_numpy()[doc]), ctx[which], block, head[which])
 
     return run
 
@@ -392,10 +392,13 @@ def _entries(keyed: DataFrame, *entry) -> DataFrame:
     return keyed.groupBy("row", "tag").agg(F.collect_list(F.struct(*entry)).alias("entries"))
 
 
-def _apart(rows: DataFrame, able: DataFrame, hot: DataFrame, rule: Rule) -> DataFrame:
-    """The blocks of hot contexts as blocks of one window each."""
-    texts = able.join(hot, "ctx").select("row", F.shiftrightunsigned("pos", 47).alias("tag"), "pos", "ctx", "head").distinct()
-    return cut(rows.join(_entries(texts, "pos", "ctx", "head"), ["row", "tag"]).select("row", "tag", "text", "entries").mapInArrow(lean(_windows(rule)), BLOCKS), "windows")
+def _apart(rows: DataFrame, hot: DataFrame, rule: Rule) -> DataFrame:
+    """The blocks of hot contexts as blocks of one window each, found by a second pass over the texts, which need not
+    move: a bitmap of fixed size lets the blocks through, a join drops those that only share a bit."""
+    bits = np.zeros(HOT_BITS // 8, np.uint8)
+    place = hot.select(F.col("ctx").bitwiseAND(F.lit(HOT_BITS - 1)).alias("p")).distinct().toArrow().column("p").to_numpy()
+    np.bitwise_or.at(bits, place >> 3, (1 << (place & 7)).astype(np.uint8))
+    return cut(rows.mapInArrow(lean(_windows(rule, bits)), BLOCKS).join(hot, "ctx").select("row", "pos", "ctx", "block", "head"), "windows")
 
 
 def _hits(rows: DataFrame, able: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
@@ -430,7 +433,7 @@ def find_repeats(rows: DataFrame, rule: Rule) -> DataFrame:
     classes = classes_table = cut(_classes(able, False), "blocks")
     hot = cut(classes.groupBy("ctx").agg(F.count("*").alias("n")).where(F.col("n") > HOT_BLOCKS).select("ctx"), "hot")
     if not hot.isEmpty():
-        apart = _apart(rows, able, hot, rule)
+        apart = _apart(rows, hot, rule)
         able = able.join(hot, "ctx", "left_anti").unionByName(apart)
         repeated = cut(_classes(apart, True).where("copies > 1"), "repeated")
         classes = classes.join(hot, "ctx", "left_anti").unionByName(repeated)
