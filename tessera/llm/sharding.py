@@ -5,10 +5,11 @@ from __future__ import annotations
 from bisect import bisect_left
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut
+from tessera.operators.ranking import global_rank
 
 BIAS = 1 << 63  # signed 64-bit values compare as unsigned ones after adding this
 TOP = 1 << 192
@@ -117,12 +118,12 @@ def count_below(rows: DataFrame, keys: list[int]) -> dict[int, tuple[int, int]]:
     return out
 
 
-def histogram_shards(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.002, slice_rows: int = 250_000) -> DataFrame:
+def histogram_shards(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.002) -> DataFrame:
     """Shard and slot of every row, shards near equal in bytes (UTF-8 bytes of the text, plus 1).
 
     Rows are ordered by (hash of the text, id, a row number fixed in a written table), so equal texts are
     neighbours, a group of copies or one id may be cut anywhere, and no two rows tie. Only ids, sizes and
-    checksums move; `slice_rows` bounds what one task numbers. Null text: size 1 and checksum 0; null id: kept,
+    checksums move, by ranges of the order within a shard, so a task's rows do not grow with a shard. Null text: size 1 and checksum 0; null id: kept,
     ordered first. Repeated rows are separate rows. An empty table gives an empty result.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -138,23 +139,14 @@ def histogram_shards(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id"
         "shards",
     )
     n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    parts = min(64, max(4, -(-n // (n_shards * slice_rows))))
-    keys, _ = find_splitters(rows, total, n, n_shards, parts, tolerance) if n else ([TOP - 1 - i for i in range(n_shards * parts - 1)][::-1], 0)
-    rows = rows.withColumn("slice", bucket_of(keys))
-    counts = {r[0]: r[1] for r in rows.groupBy("slice").count().collect()}
-    before, offsets = 0, []
-    for i in range(n_shards * parts):
-        before = 0 if i % parts == 0 else before
-        offsets.append(before)
-        before += counts.get(i, 0)
-    start = F.element_at(F.array(*[F.lit(x).cast("long") for x in offsets]), F.col("slice") + 1)
-    rank = F.row_number().over(Window.partitionBy("slice").orderBy("k1", "k2", "k3")).cast("long")
-    return rows.select(
+    keys, _ = find_splitters(rows, total, n, n_shards, 1, tolerance) if n else ([TOP - 1 - i for i in range(n_shards - 1)][::-1], 0)
+    ranked = global_rank(rows.withColumn("shard", bucket_of(keys)), ["k1", "k2", "k3"], group="shard", name="slot")
+    return ranked.select(
         "doc_id",
         "size",
         "text_crc32",
         F.lit("bytes").alias("law"),
-        F.floor(F.col("slice") / parts).cast("int").alias("shard"),
-        (start + rank - 1).alias("slot"),
+        F.col("shard").cast("int").alias("shard"),
+        F.col("slot").cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
