@@ -6,7 +6,9 @@ from pathlib import Path
 import pytest
 
 import corpus_pipeline
-from tests.llm.test_operators import brute_components, brute_contamination, brute_print, brute_repeats
+from tests.llm.test_copies import brute_keep
+from tests.llm.test_operators import brute_contamination, brute_words
+from tests.llm.test_passages import brute_passages
 
 DATA = Path("/root/testdata/sf0.001")
 
@@ -30,16 +32,15 @@ def test_every_stage(spark, tmp_path):
     good = {r["doc_id"] for r in quality.score_quality(kept["documents"], model).where(f"score >= {quality.THRESHOLD}").collect()}
     assert Counter(rows["quality"]) == Counter(x for x in rows["documents"] if x[0] in good)
 
-    prints = [(i, brute_print(t)) for i, t in rows["quality"]]
-    least = set(brute_components(prints))
+    least = brute_keep(rows["quality"])  # five-word shingles, Jaccard 0.8
     assert Counter(rows["near_duplicates"]) == Counter(x for x in rows["quality"] if x[0] in least)
 
-    of = brute_repeats(rows["near_duplicates"])
+    of = brute_passages(rows["near_duplicates"])  # 50 words or more
     before = dict(rows["near_duplicates"])
     assert {i for i, _ in rows["repeats"]} == set(before)
     for i, t in rows["repeats"]:
-        n, gone, _, _ = of(i, before[i])
-        assert len(t.encode()) <= n - gone and (gone or t == before[i])
+        gone, _, left = of(before[i])
+        assert brute_words(t) == left and (gone or t == before[i])
 
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
     hit = brute_contamination(items)
