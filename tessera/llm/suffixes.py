@@ -4,7 +4,8 @@ A symbol goes if a string of `match` symbols that covers it starts anywhere else
 words whatever their case and punctuation). Each window of `match` symbols belongs to one anchor, the least of its grams
 in the part where a context of `context` symbols still fits behind it. Equal windows have equal anchors at equal places,
 so only suffixes at anchors are sorted, and of these only the ones whose context occurs twice (a hash that leaves out
-nothing that repeats). Windows with one anchor form a block:
+nothing that repeats). Windows with one anchor form a block; equal blocks that follow each other in a text, as in a line
+that is written again and again, are one row, a chain:
 
 1. blocks with one digest are a class, of which two go on (so that the sort shows that they are equal), or the only one;
    a context with more than HOT_BLOCKS classes is taken apart into single windows, of which only repeated ones go on,
@@ -131,11 +132,24 @@ def unpack(pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return begin, begin + ((pos >> 8) & 0xFF), begin + (pos & 0xFF), pos >> 47
 
 
-BLOCKS = "row long, pos long, ctx long, block long, head int"
+def chains(doc: np.ndarray, begin: np.ndarray, ctx: np.ndarray, block: np.ndarray, match: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first block, distance to the last) of each chain: equal blocks of a text, each at most `match` symbols behind the
+    one before, so that their windows' strings are one. Blocks come by document and place."""
+    by = np.argsort(block, kind="stable")
+    b, c, d, at = block[by], ctx[by], doc[by], begin[by]
+    new = np.flatnonzero(np.append(True, (b[1:] != b[:-1]) | (c[1:] != c[:-1]) | (d[1:] != d[:-1]) | (at[1:] - at[:-1] > match))) if len(by) else by
+    last = np.append(new[1:], len(by)) - 1 if len(new) else new
+    order = np.argsort(by[new])
+    return by[new][order], (at[last] - at[new])[order]
 
 
-def _blocks(row, pos, ctx, block, head) -> pa.RecordBatch:
-    return pa.record_batch({"row": pa.array(row), "pos": pa.array(pos), "ctx": pa.array(ctx.view(np.int64)), "block": pa.array(block.view(np.int64)), "head": pa.array(head.astype(np.int32))})
+#: more: how far the last block of the chain is from the one at pos.
+BLOCKS = "row long, pos long, ctx long, block long, head int, more int"
+
+
+def _blocks(row, pos, ctx, block, head, more) -> pa.RecordBatch:
+    made = {"row": row, "pos": pos, "ctx": ctx.view(np.int64), "block": block.view(np.int64), "head": head.astype(np.int32), "more": more.astype(np.int32)}
+    return pa.record_batch({k: pa.array(v) for k, v in made.items()})
 
 
 def _find(rule: Rule):
@@ -144,8 +158,10 @@ def _find(rule: Rule):
             for part, data, off in chunks(batch, "text", FIND_BYTES):
                 raw, off, _, _ = symbols(data, off, rule)
                 doc, begin, last, at, ctx, block, head = anchors(raw, off, rule)
+                own, more = chains(doc, begin, ctx, block, rule.match)
+                doc, begin, last, at, ctx, block, head = (x[own] for x in (doc, begin, last, at, ctx, block, head))
                 base = off[doc]
-                yield _blocks(part.column("row").to_numpy()[doc], pack(begin - base, at - base, last - base, part.column("tag").to_numpy()[doc]), ctx, block, head)
+                yield _blocks(part.column("row").to_numpy()[doc], pack(begin - base, at - base, last - base, part.column("tag").to_numpy()[doc]), ctx, block, head, more)
 
     return run
 
@@ -157,15 +173,17 @@ def _windows(rule: Rule, hot: np.ndarray):
         for batch in batches:
             for part, data, off in chunks(batch, "text", FIND_BYTES):
                 raw, off, _, _ = symbols(data, off, rule)
-                doc, begin, last, at, ctx, _, head = anchors(raw, off, rule)
-                bit = ctx.view(np.uint64) & np.uint64(HOT_BITS - 1)
-                own = np.flatnonzero(hot[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1)
+                doc, begin, last, at, ctx, block, head = anchors(raw, off, rule)
+                own, more = chains(doc, begin, ctx, block, rule.match)
+                bit = ctx[own].view(np.uint64) & np.uint64(HOT_BITS - 1)
+                marked = np.flatnonzero(hot[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1)
+                own, more = own[marked], more[marked]
                 many = (last - begin + 1)[own]
                 which = np.repeat(own, many)
                 start = ranges(begin[own], many)
                 doc, at, base = doc[which], at[which], off[doc[which]]
                 block = digests(np.concatenate([raw, np.zeros(24, np.uint8)]), start, start, at, rule)
-                yield _blocks(part.column("row").to_numpy()[doc], pack(start - base, at - base, start - base, part.column("tag").to_numpy()[doc]), ctx[which], block, head[which])
+                yield _blocks(part.column("row").to_numpy()[doc], pack(start - base, at - base, start - base, part.column("tag").to_numpy()[doc]), ctx[which], block, head[which], np.repeat(more, many))
 
     return run
 
@@ -379,12 +397,17 @@ def _merge(rule: Rule):
     return run
 
 
+def _copies():
+    """Of rows of blocks: two for a chain, whose first and last block are told apart, else one."""
+    return F.count("*") + F.count_if(F.col("more") > 0)
+
+
 def _classes(blocks: DataFrame, hot: bool) -> DataFrame:
     """Blocks with one digest. order: the first four bytes of the suffix, then bits of the context, or of a single
     window of a context that was taken apart, so that splitters can cut such a context too."""
     order = F.shiftleft(F.col("head").cast("long"), 32).bitwiseOR(F.shiftrightunsigned("block" if hot else "ctx", 32))
-    one, two = (f(F.struct("row", "pos")) for f in (F.min, F.max))
-    made = blocks.groupBy("ctx", "block").agg(F.first("head").alias("head"), F.count("*").alias("copies"), one.alias("one"), two.alias("two"))
+    one, two = F.min(F.struct("row", "pos")), F.max(F.struct("row", (F.col("pos") + F.shiftleft(F.col("more").cast("long"), 16)).alias("pos")))
+    made = blocks.groupBy("ctx", "block").agg(F.first("head").alias("head"), _copies().alias("copies"), one.alias("one"), two.alias("two"))
     return made.select("ctx", "block", "copies", "one", "two", order.alias("order"))
 
 
@@ -398,7 +421,7 @@ def _apart(rows: DataFrame, hot: DataFrame, rule: Rule) -> DataFrame:
     bits = np.zeros(HOT_BITS // 8, np.uint8)
     place = hot.select(F.col("ctx").bitwiseAND(F.lit(HOT_BITS - 1)).alias("p")).distinct().toArrow().column("p").to_numpy()
     np.bitwise_or.at(bits, place >> 3, (1 << (place & 7)).astype(np.uint8))
-    return cut(rows.mapInArrow(lean(_windows(rule, bits)), BLOCKS).join(hot, "ctx").select("row", "pos", "ctx", "block", "head"), "windows")
+    return cut(rows.mapInArrow(lean(_windows(rule, bits)), BLOCKS).join(hot, "ctx").select("row", "pos", "ctx", "block", "head", "more"), "windows")
 
 
 def _hits(rows: DataFrame, able: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
@@ -426,7 +449,7 @@ def find_repeats(rows: DataFrame, rule: Rule) -> DataFrame:
     """(row, tag, start, end): the strings of texts that repeat, in symbols; some may come twice. rows: row, tag, text."""
     rows = rows.where(F.octet_length("text") >= (2 * rule.match - 1 if rule.words else rule.match))
     found = cut(rows.mapInArrow(lean(_find(rule)), BLOCKS), "anchors")
-    twice = cut(found.groupBy("ctx").agg(F.count("*").alias("n")).where("n > 1").select("ctx"), "contexts")
+    twice = cut(found.groupBy("ctx").agg(_copies().alias("n")).where("n > 1").select("ctx"), "contexts")
     able = cut(found.join(twice, "ctx"), "candidates")  # twice is a table of its own: Spark can then split a frequent context
     drop(found)
     drop(twice)
@@ -440,9 +463,9 @@ def find_repeats(rows: DataFrame, rule: Rule) -> DataFrame:
     hits = _hits(rows, able, classes, rule)
     drop(classes_table)
     several = hits.where("NOT single").select("ctx", "block", "lo", "hi").distinct()
-    both = hits.where("single").select("row", "pos", "lo", "hi").unionByName(able.join(several, ["ctx", "block"]).select("row", "pos", "lo", "hi"))
+    both = hits.where("single").select("row", "pos", F.lit(0).alias("more"), "lo", "hi").unionByName(able.join(several, ["ctx", "block"]).select("row", "pos", "more", "lo", "hi"))
     anchor = F.shiftright("pos", 16).bitwiseAND(F.lit(0x7FFFFFFF)) + F.shiftright("pos", 8).bitwiseAND(F.lit(0xFF))
-    return both.select("row", F.shiftrightunsigned("pos", 47).alias("tag"), (anchor - F.col("hi")).alias("start"), (anchor - F.col("lo") + rule.match).alias("end"))
+    return both.select("row", F.shiftrightunsigned("pos", 47).alias("tag"), (anchor - F.col("hi")).alias("start"), (anchor - F.col("lo") + rule.match + F.col("more")).alias("end"))
 
 
 def joined_runs(lists: pa.ListArray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
