@@ -15,11 +15,12 @@ from tessera.llm.common import chunks, crc_mod, lean, text_view
 GRAM = 5
 #: Training rows a language (expected number of a hash-chosen sample).
 TRAIN_ROWS = 4000
-#: A language holds an n-gram that makes up this share of its own n-grams at least, so it holds 1 / SHARE at most ...
-SHARE = 2e-5
-#: ... and that is at least this fraction as frequent there as where it is most frequent.
-RATIO = 0.25
-SLOTS, HASHES = 1 << 20, 3
+#: Slots of a filter for each n-gram of the language that has most of them, and hash functions: a filter is full to about
+#: a third at most, and takes 3 % of the n-grams that it does not hold.
+SPREAD, HASHES = 8, 3
+#: A language has a filter of the n-grams of each of these shares and more among its own: of all, and of the common ones,
+#: since labels are not clean and a large enough sample holds nearly every n-gram of its neighbours once.
+TIERS = (0.0, 2e-5)
 
 FOLD = np.full(256, 32, np.uint8)
 FOLD[65:91] = np.arange(97, 123)
@@ -30,11 +31,19 @@ FOLD[128:] = np.arange(128, 256)
 @dataclass(frozen=True)
 class LanguageFilters:
     languages: tuple[str, ...]
-    masks: np.ndarray  # SLOTS x words of 64 languages
-    false_positive: np.ndarray  # share of random n-grams that a language's filter takes
+    masks: np.ndarray  # slots x words, a bit for each language and tier; slots are a power of two
+    false_positive: np.ndarray  # share of random n-grams that each of these filters takes
 
-    def words(self) -> int:
-        return self.masks.shape[1]
+    def probe(self, h: np.ndarray) -> np.ndarray:
+        """Of each n-gram the bitmask of all languages that hold it, as words."""
+        hit = self.masks[slots(h, len(self.masks))[0]]
+        for s in slots(h, len(self.masks))[1:]:
+            hit &= self.masks[s]
+        return hit
+
+    def bit(self, words: np.ndarray, which: int) -> np.ndarray:
+        word, place = divmod(which, 8 * words.dtype.itemsize)
+        return (words[:, word] >> words.dtype.type(place)) & words.dtype.type(1)
 
 
 def grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,65 +75,68 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def slots(h: np.ndarray) -> list[np.ndarray]:
+def slots(h: np.ndarray, size: int) -> list[np.ndarray]:
     """The probed slots: two halves of the hash, combined."""
     a, b = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
-    return [((a + np.uint64(i) * b) & np.uint64(SLOTS - 1)).astype(np.int64) for i in range(HASHES)]
+    return [((a + np.uint64(i) * b) & np.uint64(size - 1)).astype(np.int64) for i in range(HASHES)]
+
+
+def filters(languages: tuple[str, ...], g: np.ndarray, lang: np.ndarray, count: np.ndarray) -> LanguageFilters:
+    """Filters of distinct (n-gram, number of its language) with counts; their size follows from the largest language."""
+    each = np.bincount(lang, minlength=len(languages)) if len(lang) else np.zeros(1, np.int64)
+    share = count / np.bincount(lang, count)[lang] if len(lang) else count
+    size = 1 << max(10, int(SPREAD * each.max() - 1).bit_length())
+    many = len(languages) * len(TIERS)
+    kind = next((t for t in (np.uint8, np.uint16, np.uint32) if many <= 8 * np.dtype(t).itemsize), np.uint64)
+    width = 8 * np.dtype(kind).itemsize
+    masks = np.zeros((size, max(1, -(-many // width))), kind)
+    for i in range(many):
+        language, tier = divmod(i, len(TIERS))
+        for s in slots(g[(lang == language) & (share >= TIERS[tier])], size):
+            masks[s, i // width] |= kind(1) << kind(i % width)
+    model = LanguageFilters(languages, masks, np.zeros(0))
+    fill = np.array([np.count_nonzero(model.bit(masks, i)) / size for i in range(many)])
+    return LanguageFilters(languages, masks, fill**HASHES)
 
 
 def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> LanguageFilters:
-    """Filters from a hash-chosen sample of about `rows` labelled rows a language (all of them if there are fewer).
+    """Filters of all n-grams of a hash-chosen sample of about `rows` labelled rows a language (all if there are fewer).
 
-    n-grams are counted on the executors; what reaches the driver is bounded by SHARE: a language has at most
-    1 / SHARE n-grams of that share. No labelled row: no language, and every prediction is `und`.
+    n-grams are counted on the executors; the distinct ones of the sample reach the driver, which `rows` bounds whatever
+    the size of the corpus. Repeated rows count as often as they occur, null texts hold nothing. No labelled row: no language, and every prediction is `und`.
     """
     labelled = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, F.lit("train")).alias("h"))
     there = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     languages = tuple(sorted(there))
     if not languages:
-        return LanguageFilters((), np.zeros((SLOTS, 1), np.uint64), np.zeros(0))
+        return filters((), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
     most = F.element_at(F.create_map(*[x for k, n in there.items() for x in (F.lit(k), F.lit(min(1.0, rows / n)))]), F.col("lang"))
     sample = labelled.where(F.pmod("h", F.lit(1 << 20)) < most * (1 << 20)).select("lang", "text")
 
-    def count(batches):
+    def held(batches):
         for batch in batches:
             for part, data, off in chunks(batch, "text"):
                 h, doc = grams(data, off)
                 code = part.column("lang").dictionary_encode()
-                names = code.dictionary.to_pylist()
                 lang = np.asarray(code.indices)[doc]
-                for i, name in enumerate(names):
+                for i, name in enumerate(code.dictionary.to_pylist()):
                     g, c = np.unique(h[lang == i], return_counts=True)
-                    yield pa.record_batch({"lang": pa.array([name] * len(g), pa.string()), "g": pa.array(g.view(np.int64)), "c": pa.array(c.astype(np.int64))})
-
-    counts = sample.mapInArrow(lean(count), "lang string, g long, c long").groupBy("lang", "g").agg(F.sum("c").alias("c"))
-    totals = counts.groupBy("lang").agg(F.sum("c").alias("total"))
-    common = counts.join(F.broadcast(totals), "lang").withColumn("rate", F.col("c") / F.col("total")).where(F.col("rate") >= SHARE).select("lang", "g", "rate").toArrow()
-    g = common["g"].to_numpy().view(np.uint64)
-    rate = common["rate"].to_numpy()
-    lang = np.array([languages.index(x) for x in common["lang"].to_pylist()], np.int64)
-    uniq, at = np.unique(g, return_inverse=True)
-    top = np.zeros(len(uniq))
-    np.maximum.at(top, at, rate)
-    held = rate >= RATIO * top[at]
-    masks = np.zeros((SLOTS, -(-len(languages) // 64)), np.uint64)
-    for i in range(len(languages)):
-        bit = np.uint64(1) << np.uint64(i % 64)
-        for s in slots(g[held & (lang == i)]):
-            masks[s, i // 64] |= bit
-    fill = np.array([np.count_nonzero(masks[:, i // 64] >> np.uint64(i % 64) & np.uint64(1)) / SLOTS for i in range(len(languages))])
-    return LanguageFilters(languages, masks, fill**HASHES)
+                    yield pa.record_batch({"lang": pa.array(np.full(len(g), languages.index(name), np.int32)), "g": pa.array(g.view(np.int64)), "c": pa.array(c.astype(np.int64))})
+
+    pairs = sample.mapInArrow(lean(held), "lang int, g long, c long").groupBy("lang", "g").agg(F.sum("c").alias("c")).toArrow()
+    return filters(languages, pairs["g"].to_numpy().view(np.uint64), pairs["lang"].to_numpy(), pairs["c"].to_numpy())
 
 
 def predict_languages(docs: DataFrame, model: LanguageFilters, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """lang_pred and score of every row, other columns unread.
 
-    A language's count is the popcount of its bit over the document's n-grams, less the false positives that its
-    filter's fill makes likely. The largest count wins (ties: the first name); the score is its share of all
+    A language's count is the popcount of its bits over the document's n-grams, less the false positives that its
+    filters' fill makes likely. The largest count wins (ties: the first name); the score is its share of all
     corrected counts, 1 / languages if none is positive. `und` with score 0 for null, or a text without a letter.
-    The filters have a fixed size (SLOTS), so they travel with the function.
+    The filters' size is bounded by the training sample, so they travel with the function. Repeated rows have equal
+    results; an empty table has none.
     """
-    names, masks, fp = model.languages, model.masks, model.false_positive
+    names, fp = model.languages, model.false_positive
     ascii_letter = np.zeros(256, bool)
     ascii_letter[65:91] = ascii_letter[97:123] = True
 
@@ -133,14 +145,11 @@ def predict_languages(docs: DataFrame, model: LanguageFilters, id_col: str = "do
             for part, data, off in chunks(batch, "text"):
                 n = len(off) - 1
                 h, doc = grams(data, off)
-                hit = masks[slots(h)[0]]
-                for s in slots(h)[1:]:
-                    hit = hit & masks[s]
+                hit = model.probe(h)
                 total = np.bincount(doc, minlength=n)
                 got = np.zeros((n, max(1, len(names))))
-                for i in range(len(names)):
-                    bit = (hit[:, i // 64] >> np.uint64(i % 64) & np.uint64(1)).astype(np.float64)
-                    got[:, i] = np.maximum(0, (np.bincount(doc, bit, minlength=n) - fp[i] * total) / (1 - min(fp[i], 0.999)))
+                for i in range(len(names) * len(TIERS)):
+                    got[:, i // len(TIERS)] += np.maximum(0, (np.bincount(doc, model.bit(hit, i), minlength=n) - fp[i] * total) / (1 - min(fp[i], 0.999)))
                 letters = np.add.reduceat(np.append(ascii_letter[data], False), np.minimum(off[:-1], len(data))) > 0 if n else np.empty(0, bool)
                 letters &= np.diff(off) > 0
                 for i in np.flatnonzero(~letters & (np.diff(off) > 0)):
@@ -157,7 +166,8 @@ def predict_languages(docs: DataFrame, model: LanguageFilters, id_col: str = "do
 
 
 def identify_languages(docs: DataFrame) -> DataFrame:
-    """The contract's folds: learn where crc32(doc_id) mod 4 is not 2, predict every row."""
+    """The contract's folds: learn where crc32(doc_id) mod 4 is not 2, predict every row. A null id counts as an empty one;
+    repeated rows are all returned, other columns are not read, an empty table gives an empty result."""
     model = fit_languages(docs.where(crc_mod("doc_id", 4) != 2))
     out = predict_languages(docs, model).withColumnRenamed("id", "doc_id")
     return out.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")

@@ -394,6 +394,51 @@ def test_languages_of_held_out_rows(spark, empty):
     assert langid.identify_languages(empty).count() == 0
 
 
+def brute_language(rows, train, tiers):
+    """{language: {n-gram: share}} by plain dictionaries, and the best languages of a text by exact membership."""
+    def folded(t):
+        b = (t or "").translate(LOW).encode()
+        b = re.sub(rb" +", b" ", b" " + bytes(x if 97 <= x <= 122 or x >= 128 else 32 for x in b) + b" ")
+        return [b[k : k + langid.GRAM] for k in range(len(b) - langid.GRAM + 1)]
+
+    held = defaultdict(Counter)
+    for t, lang in train:
+        held[lang].update(folded(t))
+    share = {k: {g: n / sum(c.values()) for g, n in c.items()} for k, c in held.items()}
+
+    def of(t):
+        got = {k: sum(c.get(g, -1) >= x for g in folded(t) for x in tiers) for k, c in share.items()}
+        return got
+
+    return of
+
+
+def test_languages_equal_exact_membership(spark):
+    """The filters lose nothing: popcounts are those of exact sets, up to false positives, on rows with nulls, repeats,
+    ties, a very long text and clashing names."""
+    base = [(r["doc_id"], r["text"], r["lang"]) for r in labelled(spark).collect()]
+    rows = [*base, base[4], base[4], (None, "uno dos", "yy"), (2000, base[1][1] * 300, None), (2001, "q", "zz"), (2002, "ß ü", None)]
+    df = spark.createDataFrame([(*r, "clash", "clash", "clash") for r in rows], "doc_id long, text string, lang string, id string, lang_pred string, score string")
+    train = [(t, lang) for i, t, lang in rows if lang and zlib.crc32(("" if i is None else str(i)).encode()) % 4 != 2]
+    of = brute_language(rows, train, langid.TIERS)
+    got = langid.identify_languages(df).collect()
+    assert len(got) == len(rows)
+    text = {i: t for i, t, _ in rows}
+    for r in got:
+        t = text[r["doc_id"]]
+        if r["lang_pred"] == "und":
+            assert not any(map(str.isalpha, t or "")) and r["score"] == 0
+            continue
+        want = of(t)
+        total, top = sum(want.values()), max(want.values())
+        assert want[r["lang_pred"]] >= 0.98 * top and (not total or abs(r["score"] - top / total) < 0.05)
+    model = langid.fit_languages(df)
+    for lang in model.languages:  # every n-gram of the sample is returned for its language
+        data, off = text_view(pa.array([t for _, t, x in rows if x == lang], pa.string()))
+        h, _ = langid.grams(data, off)
+        assert model.bit(model.probe(h), len(langid.TIERS) * model.languages.index(lang)).all()
+
+
 def test_quality_of_held_out_rows(spark, empty):
     df = labelled(spark)
     labels = df.where("quality IS NOT NULL").select("doc_id", "quality")
