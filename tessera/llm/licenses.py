@@ -228,6 +228,26 @@ def classify_paragraphs(lines: DataFrame, model: LicenseModel) -> DataFrame:
     return best.select("line", "m.family", "m.score", "m.template", "m.similarity")
 
 
+@cache
+def cue_words() -> tuple[str, ...]:
+    """Words of which every paragraph that a template can confirm holds one: of each template's n-grams, less than the
+    share that has to be held are without such a word. The longest words are taken first, as the least common."""
+    chosen: set[str] = set()
+    for ts in TEMPLATES.values():
+        for t in ts:
+            held = [set(g.split()) for g in grams(t)]
+            for word in sorted(set().union(*held) - STOP, key=lambda w: (-len(w), w)):
+                if sum(not g & chosen for g in held) < CONFIRM * len(held):
+                    break
+                chosen.add(word)
+    return tuple(sorted(w for w in chosen if not any(x != w and len(x) > 3 and x in w for x in chosen)))  # found inside longer ones
+
+
+def _cue(column):
+    """Whether a cue word occurs; short ones as whole words only."""
+    return F.lower(column).rlike("|".join(w if len(w) > 3 else f"(?<![a-z0-9]){w}(?![a-z0-9])" for w in cue_words()))
+
+
 def _blocks(rows: DataFrame, cue) -> DataFrame:
     """row, tag, number of the first line and the text of each block of neighbouring non-blank lines, of two at least."""
     parts = F.split(F.regexp_replace("text", r"(?m)^[ \t\r\f\x0B]+$", ""), "\n\n", -1)
@@ -245,8 +265,8 @@ def scan_licenses(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id",
     without one), and of the confirmed paragraph with the largest score (first of equals) its number from 0, family,
     score, template and similarity, else null.
 
-    A paragraph without a word of the model's vocabulary has no feature and is unknown, so it is left out before
-    any n-gram is made. Notices that are wrapped over lines are found too: each block of neighbouring non-blank lines is
+    A paragraph without a cue word cannot be confirmed by any template (see cue_words()), so it is left out before any
+    n-gram is made. Notices that are wrapped over lines are found too: each block of neighbouring non-blank lines is
     a further candidate beside its lines, numbered as its first line; it counts unless a line of it already confirmed
     the same family. Each distinct paragraph is judged once, and a frequent notice is one row after a map-side
     combine. Repeated rows are all returned; null and empty texts have no paragraph; other columns are not read.
@@ -254,10 +274,10 @@ def scan_licenses(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id",
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.split("text", "\n", -1)
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).select("id", F.xxhash64("id", "text").alias("row"), F.xxhash64("text").alias("tag"), "text")
-    vocabulary = sorted({w for i, g in enumerate(model.vocabulary) if np.abs(model.weights[i]).max() > 1e-6 for w in g.split() if w not in STOP})
-    cue = F.arrays_overlap(F.split(F.lower("line"), TOKEN), F.array(*[F.lit(w) for w in vocabulary]))
-    found = rows.select("row", "tag", F.posexplode(lines).alias("number", "line")).where(cue)
-    found = found.withColumn("lines", F.lit(1)).unionByName(_blocks(rows, cue))
+    cue = _cue("line")
+    some = rows.where(_cue("text"))
+    found = some.select("row", "tag", F.posexplode(lines).alias("number", "line")).where(cue)
+    found = found.withColumn("lines", F.lit(1)).unionByName(_blocks(some, cue))
     judged = classify_paragraphs(found.select("line").distinct(), model)
     hits = found.join(judged, "line").dropDuplicates(["row", "tag", "number", "lines"])
     lone = hits.where("lines = 1").select("row", "tag", "family", F.col("number").alias("at"))
