@@ -1,4 +1,4 @@
-"""Near copies by exact set similarity: rare shingles as join keys, stars first, then the pairs that stars leave open."""
+"""Near copies: SimHash links and stars of rare shingles, each checked by exact set similarity, then the pairs left open."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import batch_rows, chunks, crc_mod, cut, drop, lean, others
-from tessera.llm.simhash import keep_least, shingles
+from tessera.llm.simhash import bit_counts, keep_least, link_edges, shingles
 from tessera.operators.components import components
 
 #: Words of a shingle, and the least Jaccard similarity of two sets of shingles as a fraction.
@@ -45,8 +45,8 @@ def _frequent(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prints(rows: DataFrame, width: int) -> DataFrame:
-    """(id, fp, n, head): fp stands for the set of shingles, n is its size, head are its rarest ones, of which two sets
-    that are similar enough share at least one."""
+    """(id, fp, n, head, sim): fp stands for the set of shingles, n is its size, head are its rarest ones, of which two sets
+    that are similar enough share at least one; sim is the SimHash fingerprint of the set."""
     known, often = _frequent(rows, width)
     kind = rows.schema["key"].dataType.simpleString()
 
@@ -56,6 +56,9 @@ def _prints(rows: DataFrame, width: int) -> DataFrame:
                 h, n = shingle_sets(data, off, width)
                 begin = np.cumsum(n) - n
                 fp = np.array([xxhash.xxh64_intdigest(h[b : b + k].tobytes()) if k else 0 for b, k in zip(begin, n, strict=True)], np.uint64)
+                sim, has = np.zeros(len(n), np.uint64), np.flatnonzero(n)
+                if len(has):
+                    sim[has] = np.packbits(2 * bit_counts(h, n[has]) > n[has][:, None], axis=1, bitorder="little").view("<u8").ravel()
                 rank = np.zeros(len(h), np.int64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
@@ -65,9 +68,9 @@ def _prints(rows: DataFrame, width: int) -> DataFrame:
                 size = np.where(n > 0, n - (NUM * n + DEN - 1) // DEN + 1, 0)
                 head = h[np.arange(len(h)) - begin[doc] < size[doc]]
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(head.view(np.int64)))
-                yield pa.record_batch({"id": part.column("key"), "fp": pa.array(fp.view(np.int64)), "n": pa.array(n.astype(np.int32)), "head": lists})
+                yield pa.record_batch({"id": part.column("key"), "fp": pa.array(fp.view(np.int64)), "n": pa.array(n.astype(np.int32)), "head": lists, "sim": pa.array(sim.view(np.int64))})
 
-    return cut(rows.select("key", "text").mapInArrow(lean(run), f"id {kind}, fp long, n int, head array<long>"), "prints")
+    return cut(rows.select("key", "text").mapInArrow(lean(run), f"id {kind}, fp long, n int, head array<long>, sim long"), "prints")
 
 
 def _groups(batches, names):
@@ -143,14 +146,30 @@ def _similar(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, width: int) ->
     return out
 
 
+def marked(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets whose SimHash fingerprints are linked: each set with the least one of its fingerprint, and
+    these along the links of at most 3 differing bits, by the halves and wildcards of op2."""
+    one = cut(nodes.groupBy("sim").agg(F.min("fp").alias("one")), "marks")
+    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    equal = nodes.select("sim", "fp").join(one, "sim").where("fp <> one").select(*ordered("fp", "one"))
+    with batch_rows(nodes.sparkSession, 50_000):
+        edges = cut(link_edges(one.select(F.col("sim").alias("fp"))).distinct(), "links")
+    left, right = (one.select(F.col("sim").alias(k), F.col("one").alias(f"one_{k}")) for k in ("a", "b"))
+    found = cut(equal.unionByName(edges.join(left, "a").join(right, "b").select(*ordered("one_a", "one_b"))).distinct(), "marked")
+    drop(edges)
+    drop(one)
+    return found
+
+
 def near_copies(rows: DataFrame, prints: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
     """(nodes, labels): distinct sets of shingles with their least key, and (node, label) of those linked to others."""
-    nodes = cut(prints.groupBy("fp").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("head").alias("head")), "nodes")
+    nodes = cut(prints.groupBy("fp").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("head").alias("head"), F.first("sim").alias("sim")), "nodes")
+    alike = marked(nodes)
     keys = nodes.select("fp", "n", F.posexplode("head").alias("pos", "s"))
     with batch_rows(rows.sparkSession, 50_000):
         sorted_keys = keys.select("s", "pos", "fp", "n").repartition("s").sortWithinPartitions("s", "pos", "fp")
         shared = cut(sorted_keys.mapInArrow(lean(_shared), "s long, pos int, fp long, n int, centre long, star boolean"), "shared")
-    stars = cut(shared.where("star").select(F.least("fp", "centre").alias("a"), F.greatest("fp", "centre").alias("b")).distinct(), "stars")
+    stars = cut(shared.where("star").select(F.least("fp", "centre").alias("a"), F.greatest("fp", "centre").alias("b")).unionByName(alike).distinct(), "stars")
     links = _similar(stars, nodes, rows, width)
     found = components(links)
     named = shared.join(found, shared["fp"] == found["node"], "left").select("s", "fp", "n", "pos", F.coalesce("label", "fp").alias("label"))
@@ -166,8 +185,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     """One row of every group of near copies, that of the smallest id (of one id, the smallest hash of a text), as it was.
 
     Two texts are near copies if their sets of shingles of `width` words have a Jaccard similarity of at least NUM / DEN;
-    groups are the components of these links. The result is exact: similar sets share one of their rarest shingles, and
-    of the sets of such a shingle all pairs are compared by their whole sets, but for pairs that are in one component
+    groups are the components of these links. SimHash links are candidates first, confirmed by the whole sets; at this
+    similarity they miss most links, so the result is made exact: similar sets share one of their rarest shingles, and of the sets of such a shingle all pairs are compared by their whole sets, but for pairs that are in one component
     already or whose sizes and places rule the similarity out. Texts without words are one group.
     """
     rows = docs.select(others(docs, text_col).alias("doc"), F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash")).alias("key"), F.col(text_col).alias("text"))

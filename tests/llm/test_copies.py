@@ -51,3 +51,24 @@ def test_near_copies_equal_brute_force(spark, frequent, monkeypatch):
 
 def test_no_rows(spark):
     assert copies.keep_one(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_simhash_links_are_candidates(spark, monkeypatch):
+    """The stage looks for near copies by SimHash first; its links are those of brute force over the fingerprints."""
+    seen = []
+    monkeypatch.setattr(copies, "marked", lambda nodes, real=copies.marked: seen.append((nodes, real(nodes))) or seen[-1][1])
+    rng = np.random.default_rng(4)
+    base = prose(rng, 400).split()
+    texts = [" ".join(base), " ".join([*base, "tail"]), " ".join(["head", *base]), prose(rng, 300), prose(rng, 200), ""]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), "clash", "clash", "clash", "clash") for i, t in enumerate(texts)], SCHEMA)
+    assert sorted(r["doc_id"] for r in copies.keep_one(docs).collect()) == [0, 3, 4, 5]
+    (nodes, links), = seen
+    sim = {r["fp"]: r["sim"] for r in nodes.collect()}
+    near = lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count() <= simhash.MOST
+    want = {(a, b) for a in sim for b in sim if a < b and near(sim[a], sim[b])}
+    got = {(r["a"], r["b"]) for r in links.collect()}
+    assert want and got <= want
+    label = {a: a for a in sim}
+    for a, b in sorted(got) * len(sim):
+        label[a] = label[b] = min(label[a], label[b])
+    assert all(label[a] == label[b] for a, b in want)
