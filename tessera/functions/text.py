@@ -163,7 +163,9 @@ def slot_name(i) -> Column:
 
 
 def ordered(paragraphs) -> Column:
-    return F.array_sort(paragraphs, lambda a, b: a["idx"] - b["idx"])
+    """In slot order, equal slots as they came; what is in order already is not compared one by one."""
+    slots = F.transform(paragraphs, lambda p: p["idx"])
+    return F.when(slots == F.array_sort(slots), paragraphs).otherwise(F.array_sort(paragraphs, lambda a, b: a["idx"] - b["idx"]))
 
 
 def render_prompt(question, paragraphs, slots=SLOTS) -> Column:

@@ -6,22 +6,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.digest import sha, short_id
+from tessera.functions.stats import let
 from tessera.functions.text import SLOTS, contains_phrase, normalized, ordered, tokens
 
 
 def header(rows: DataFrame) -> DataFrame:
-    """Source rows with what pairing needs of them; paragraphs in slot order."""
-    p = F.col("paragraphs")
-    whole = tokens(F.array_join(F.transform(p, lambda x: F.concat_ws(" ", x["title"], x["paragraph_text"])), " "))
-    return (
-        rows.withColumn("paragraphs", ordered(p))
-        .withColumn("text_hashes", F.array_distinct(F.transform(p, lambda x: sha(x["paragraph_text"]))))
-        .withColumn("support", F.array_sort(F.transform(F.filter(p, lambda x: x["is_supporting"]), lambda x: x["idx"])))
-        .withColumn("support_hashes", F.array_distinct(F.transform(F.filter(p, lambda x: x["is_supporting"]), lambda x: sha(x["paragraph_text"]))))
-        .withColumn("words", whole)
-        .withColumn("held_subanswers", F.transform("question_decomposition", lambda d: contains_phrase(F.col("words"), tokens(d["answer"]))))
-        .drop("words")
-    )
+    """Source rows with paragraphs in slot order and the supporting slots; what only pairs need is left to eligibility."""
+    flagged = F.filter("paragraphs", lambda x: x["is_supporting"])
+    return rows.withColumn("paragraphs", ordered(F.col("paragraphs"))).withColumn("support", F.array_sort(F.transform(flagged, lambda x: x["idx"])))
+
+
+def text_hashes(paragraphs) -> Column:
+    return F.array_distinct(F.transform(paragraphs, lambda x: sha(x["paragraph_text"])))
+
+
+def support_hashes(paragraphs) -> Column:
+    return text_hashes(F.filter(paragraphs, lambda x: x["is_supporting"]))
+
+
+def held_subanswers(paragraphs, steps) -> Column:
+    """Whether the paragraphs hold the answer of each step; their words are taken once for all steps."""
+    whole = F.array_join(F.transform(paragraphs, lambda x: F.concat_ws(" ", x["title"], x["paragraph_text"])), " ")
+    return let(tokens(whole), lambda words: F.transform(steps, lambda d: contains_phrase(words, tokens(d["answer"]))))
 
 
 def valid_slots(paragraphs) -> Column:
@@ -54,18 +60,19 @@ def pair_rows(headers: DataFrame, id_col: str = "id") -> DataFrame:
 def eligibility(pairs: DataFrame) -> DataFrame:
     """pairs with the first reason against each (or eligible) and the numbers of missing support texts and sub-answers."""
     c, m = "complete", "missing"
-    lost = F.size(F.array_except(f"{c}.support_hashes", f"{m}.text_hashes"))
-    gone = F.size(F.filter(f"{m}.held_subanswers", lambda h: ~h))
+    lost = F.size(F.array_except(support_hashes(F.col(f"{c}.paragraphs")), text_hashes(F.col(f"{m}.paragraphs"))))
+    gone = F.size(F.filter(held_subanswers(F.col(f"{m}.paragraphs"), F.col(f"{m}.question_decomposition")), lambda h: ~h))
+    measured = pairs.withColumn("missing_support", lost).withColumn("missing_subanswers", gone)
     reason = (
         F.when((F.size(f"{c}.paragraphs") != SLOTS) | (F.size(f"{m}.paragraphs") != SLOTS), "not_20_paragraphs")
         .when(~(valid_slots(F.col(f"{c}.paragraphs")) & valid_slots(F.col(f"{m}.paragraphs"))), "invalid_slots")
         .when(~valid_support(F.col(f"{c}.paragraphs"), F.col(f"{c}.question_decomposition")), "invalid_support")
-        .when(lost == 0, "missing_keeps_all_support")
-        .when(gone == 0, "missing_contains_every_subanswer")
+        .when(F.col("missing_support") == 0, "missing_keeps_all_support")
+        .when(F.col("missing_subanswers") == 0, "missing_contains_every_subanswer")
         .when(F.size(f"{c}.paragraphs") - F.size(f"{c}.support") < 2, "fewer_than_two_nonsupport")
         .otherwise("eligible")
     )
-    return pairs.withColumn("missing_support", lost).withColumn("missing_subanswers", gone).withColumn("reason", reason)
+    return measured.withColumn("reason", reason)
 
 
 def reason_counts(rows: DataFrame) -> DataFrame:
@@ -81,7 +88,7 @@ def orbits(pairs: DataFrame, prefix: str, id_col: str = "id") -> DataFrame:
     support texts, and the answers and aliases of both rows (normalized; empty ones make no key)."""
     answers = F.concat(F.array("complete.answer"), "complete.answer_aliases", "missing.answer_aliases")
     named = F.transform(F.array_distinct(F.filter(F.transform(answers, normalized), lambda a: a != "")), lambda a: F.concat(F.lit("answer:"), a))
-    texts = F.transform("complete.support_hashes", lambda h: F.concat(F.lit("support_text:"), h))
+    texts = F.transform(support_hashes(F.col("complete.paragraphs")), lambda h: F.concat(F.lit("support_text:"), h))
     keys = F.array_distinct(F.concat(F.array(F.concat(F.lit("source_id:"), F.col(id_col))), texts, named))
     return pairs.where("reason = 'eligible'").withColumn("orbit_id", short_id(prefix, F.col(id_col))).withColumn("leakage_keys", keys)
 

@@ -19,6 +19,8 @@ from tessera.plans.lineage import cut, shared_path
 from tessera.sources import jsonl
 
 PREFIX = "orbit_"
+#: Source pairs of one task at most, on average.
+PART = 20_000
 #: k % 12 that make a pair ineligible, with the reason, the support texts and the sub-answers that the missing row lacks.
 FLAWS = {6: ("not_20_paragraphs", 2, 1), 7: ("invalid_slots", 2, 1), 8: ("invalid_support", 2, 1), 9: ("missing_keeps_all_support", 0, 0), 10: ("missing_contains_every_subanswer", 2, 0)}
 #: k % 36 that make a pair faulty: other values of the missing row, or one row too many.
@@ -44,8 +46,13 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_pairs(base: DataFrame, faults: bool = False) -> DataFrame:
-    """Source rows, two for each k, with flawed ones; with faults, also pairs that do not belong together."""
+    """Source rows, two for each k, with flawed ones; with faults, also pairs that do not belong together.
+
+    A pair is a hundred times as large as its k, so k is dealt out by id first, also from one small file: no task makes
+    many pairs, and the rows of an id meet without being moved."""
+    parts = max(int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")), base.count() // PART + 1)
     c = base.select("k", F.col("k").cast("string").alias("ks"), (F.col("k") % 12).alias("v"), "seg")
+    c = c.withColumn("id", F.concat(F.lit("c"), "ks")).repartition(parts, "id")
     slot = lambda body, support: F.expr(f"transform(sequence(0, 19), i -> named_struct('idx', CASE WHEN v = 7 AND i = 19 THEN 18 ELSE i END, 'title', {TITLE}, 'paragraph_text', {body}, 'is_supporting', {support}))")
     c = c.withColumn("p", slot(FULL, "i < 2 OR (v = 8 AND i = 5)")).withColumn("q", slot(LOST, "i = 0"))
     c = c.withColumn("q", F.when(F.col("v") == 6, F.slice("q", 1, 19)).when(F.col("v") == 9, F.col("p")).otherwise(F.col("q")))
@@ -67,7 +74,7 @@ def source_pairs(base: DataFrame, faults: bool = False) -> DataFrame:
 
     both = F.array(row(True), row(False))
     every = F.when(odd("not_two_rows"), F.concat(both, F.array(row(True)))).otherwise(both)
-    return c.select(F.concat(F.lit("c"), "ks").alias("id"), F.explode(every).alias("r")).select("id", "r.*")
+    return c.select("id", F.explode(every).alias("r")).select("id", "r.*")
 
 
 MADE = "k AS (SELECT k, k::VARCHAR AS ks, k % 12 AS v, seg, 'c' || k AS id, 'orbit_' || substr(sha256('c' || k), 1, 20) AS orbit_id FROM ({0}))".format
