@@ -28,6 +28,11 @@ class Matching:
     ratio: float = 1.25
 
 
+def _parts(orbits: DataFrame) -> int:
+    """Tasks over which measuring is dealt out by name: the rows are few bytes and much work, so sizes say nothing of it."""
+    return int(orbits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _content(p) -> Column:
     return F.concat_ws(" ", p["title"], p["paragraph_text"])
 
@@ -38,7 +43,7 @@ def _count(m) -> Column:
 
 def prepare(orbits: DataFrame) -> DataFrame:
     """orbits with their paragraphs measured (m) and the question's words (q), written once: ranking reads numbers only."""
-    return cut(orbits.withColumn("m", measure_all("paragraphs")).withColumn("q", question_hashes(F.col("question"))), "orbits")
+    return cut(orbits.repartition(_parts(orbits), "orbit_id").withColumn("m", measure_all("paragraphs")).withColumn("q", question_hashes(F.col("question"))), "orbits")
 
 
 def donor_pool(orbits: DataFrame) -> DataFrame:
@@ -63,10 +68,12 @@ def _gcd(a, b) -> Column:
 def stride_draw(salt, width) -> Column:
     """Struct start, stride of a walk through 0 .. width - 1: both from a digest, the stride raised until it shares no
     factor with the width (the next such number is never 64 away)."""
-    draw = mod_pair(sha(salt), width)
-    want = F.greatest(draw["next"], F.lit(1).cast("long"))
-    free = F.filter(F.sequence(want, F.greatest(want, F.least(want + 64, width.cast("long") - 1))), lambda s: _gcd(s, width) == 1)
-    return F.struct(draw["rest"].alias("start"), F.coalesce(F.get(free, F.lit(0)), F.lit(1).cast("long")).alias("stride"))
+    def of(w, draw):
+        free = lambda want: F.filter(F.sequence(want, F.greatest(want, F.least(want + 64, w.cast("long") - 1))), lambda s: _gcd(s, w) == 1)
+        first = let(F.greatest(draw["next"], F.lit(1).cast("long")), lambda want: F.get(free(want), F.lit(0)))
+        return F.struct(draw["rest"].alias("start"), F.coalesce(first, F.lit(1).cast("long")).alias("stride"))
+
+    return let(width, lambda w: let(mod_pair(sha(salt), w), lambda draw: of(w, draw)))
 
 
 def candidate_positions(count, bounds, ratio: float, salt) -> Column:
@@ -76,13 +83,15 @@ def candidate_positions(count, bounds, ratio: float, salt) -> Column:
     low = F.greatest(F.lit(1), F.ceil(count / ratio))
     high = F.greatest(low, F.floor(count * ratio))
     below = lambda n: F.coalesce(F.array_max(F.transform(F.filter(bounds, lambda b: b["count"] < n), lambda b: b["upto"])), F.lit(0).cast("long"))
-    left, right = below(low), below(high + 1)
-    width = right - left
-    center = F.greatest(left, F.least(right, below(count)))
-    draw = stride_draw(salt, F.greatest(width, F.lit(1)))
-    near = F.filter(F.sequence(center - NEAR, center + NEAR - 1), lambda p: (p >= left) & (p < right))
-    drawn = F.transform(F.sequence(F.lit(0).cast("long"), F.least(F.lit(DRAWN), width) - 1), lambda k: left + F.pmod(draw["start"] + k * draw["stride"], width))
-    return F.when(width <= 0, F.array().cast("array<bigint>")).otherwise(F.array_sort(F.array_distinct(F.concat(near, drawn))))
+
+    def of(left, right, draw):  # bound, not repeated for each position
+        width = right - left
+        center = F.greatest(left, F.least(right, below(count)))
+        near = F.filter(let(center, lambda c: F.sequence(c - NEAR, c + NEAR - 1)), lambda p: (p >= left) & (p < right))
+        drawn = F.transform(F.sequence(F.lit(0).cast("long"), F.least(F.lit(DRAWN), width) - 1), lambda k: left + F.pmod(draw["start"] + k * draw["stride"], width))
+        return F.when(width <= 0, F.array().cast("array<bigint>")).otherwise(F.array_sort(F.array_distinct(F.concat(near, drawn))))
+
+    return let(below(low), lambda left: let(below(high + 1), lambda right: let(stride_draw(salt, F.greatest(right - left, F.lit(1))), lambda draw: of(left, right, draw))))
 
 
 def _profile(m, others, question) -> Column:
@@ -118,9 +127,12 @@ def proposals(orbits: DataFrame, pool: DataFrame, m: Matching) -> DataFrame:
     lengths = pool.groupBy("split", "donor_count").agg(F.count("*").alias("n"))
     arrays = lengths.groupBy("split").agg(F.array_sort(F.collect_list(F.struct(F.col("donor_count").alias("count"), "n"))).alias("l"))
     upto = F.transform("l", lambda b, i: F.struct(b["count"].alias("count"), F.aggregate(F.slice("l", 1, i + 1), F.lit(0).cast("long"), lambda s, x: s + x["n"]).alias("upto")))
-    tried = slots(orbits, m).join(arrays.select("split", upto.alias("bounds")), "split")
+    parts = _parts(orbits)
+    tried = slots(orbits, m).join(arrays.select("split", upto.alias("bounds")), "split").repartition(parts, "orbit_id", "slot")
     salt = F.concat_ws("\n", F.lit(m.seed), F.col("orbit_id"), F.col("slot").cast("string"))
-    met = tried.withColumn("position", F.explode(candidate_positions(F.col("count"), F.col("bounds"), m.ratio, salt))).drop("bounds").join(pool, ["split", "position"])
+    drawn = tried.select("split", "orbit_id", "slot", F.explode(candidate_positions(F.col("count"), F.col("bounds"), m.ratio, salt)).alias("position"))
+    drawn = drawn.join(pool, ["split", "position"]).drop("split").repartition(parts, "orbit_id", "slot")
+    met = drawn.join(tried.drop("bounds"), ["orbit_id", "slot"])
     ratio = length_ratio(F.col("count"), F.col("donor_count"))
     met = met.where((F.col("donor_orbit") != F.col("orbit_id")) & (F.col("donor_hash") != F.col("old_hash")) & (ratio <= m.ratio + 1e-12) & ~leaks(F.col("donor_words"), F.col("phrases")))
     others = F.filter("m", lambda o, i: i != F.col("slot"))
@@ -166,7 +178,7 @@ def distractors(orbits: DataFrame, pool: DataFrame, m: Matching) -> DataFrame:
     rows = made.select("orbit_id", F.explode(pairs).alias("pair")).withColumn("local", F.round(F.col("pair.a.cost") + F.col("pair.b.cost"), 12))
     name = lambda s: F.concat_ws(":", F.col(f"pair.{s}.slot").cast("string"), F.col(f"pair.{s}.donor_key"))
     rows = top(rows, PAIRS, [F.col("local"), joined_sha(m.seed, F.col("orbit_id"), name("a"), name("b"))], "orbit_id")
-    rows = rows.join(orbits.select("orbit_id", "q", "m", "paragraphs"), "orbit_id")
+    rows = rows.repartition(_parts(orbits), "orbit_id").join(orbits.select("orbit_id", "q", "m", "paragraphs"), "orbit_id")
     new = F.transform("m", lambda x, i: F.when(i == F.col("pair.a.slot"), F.col("pair.a.m")).when(i == F.col("pair.b.slot"), F.col("pair.b.m")).otherwise(x))
     apart = let(new, lambda n: feature_distance(surface_of(F.col("m")), surface_of(n)) + feature_distance(extras_of(F.col("q"), F.col("m")), extras_of(F.col("q"), n)))
     rows = rows.withColumn("score", F.round(apart + W_LOCAL * F.col("local"), 12))
