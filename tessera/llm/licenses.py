@@ -10,6 +10,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.common import cut
+
 #: The notices of public licences, by family.
 TEMPLATES = {
     "mit": (
@@ -197,67 +199,94 @@ def _values(spark: SparkSession, rows: list[str], names: str) -> DataFrame:
 
 def _column_grams(tokens):
     """The n-grams of an array of words, as grams() makes them."""
-    stop = F.array(*[F.lit(w) for w in sorted(STOP)])
-    kept = F.filter(tokens, lambda t: ~F.array_contains(stop, t))
-    pairs = F.zip_with(F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0))), F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))), lambda a, b: F.when(~F.array_contains(stop, a) | ~F.array_contains(stop, b), F.concat_ws(" ", a, b)))
+    stop = sorted(STOP)
+    kept = F.filter(tokens, lambda t: ~t.isin(stop))
+    pairs = F.zip_with(F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0))), F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))), lambda a, b: F.when(~a.isin(stop) | ~b.isin(stop), F.concat_ws(" ", a, b)))
     return F.array_distinct(F.concat(kept, F.filter(pairs, lambda p: p.isNotNull())))
 
 
-def classify_paragraphs(lines: DataFrame, model: LicenseModel) -> DataFrame:
-    """line, family, score, template, similarity of distinct paragraphs (column line); family is null if unknown.
+def _held(rows: DataFrame, model: LicenseModel) -> DataFrame:
+    """rows with grams, the model's n-grams in the column line, sorted and joined by line ends, in place of it.
+
+    Words and n-grams are columns of their own, since a lambda's body repeats what is written into it.
+    """
+    rest = [c for c in rows.columns if c != "line"]
+    rows = rows.select(*rest, F.filter(F.split(F.lower("line"), TOKEN), lambda t: t != "").alias("tokens"))
+    known = F.filter(_column_grams(F.col("tokens")), lambda g: g.isin(list(model.vocabulary)))
+    return rows.select(*rest, F.array_join(F.array_sort(known), "\n").alias("grams"))
+
+
+def classify_paragraphs(held: DataFrame, model: LicenseModel) -> DataFrame:
+    """grams, family, score, template, similarity of distinct sets of n-grams (column grams, see _held()) that a
+    template confirms. Score and similarity look at nothing else of a paragraph.
 
     The model has a fixed size (its vocabulary comes from the templates), so its tables are broadcast.
     """
-    spark = lines.sparkSession
+    spark = held.sparkSession
     kept = [i for i in range(len(model.vocabulary)) if np.abs(model.weights[i]).max() > 1e-6]
     weights = _values(spark, [f"({_literal(model.vocabulary[i])}, array({', '.join(f'{v:.9g}D' for v in model.weights[i])}))" for i in kept], "gram, w")
-    tokens = F.filter(F.split(F.lower("line"), TOKEN), lambda t: t != "")
-    made = lines.select("line", _column_grams(tokens).alias("grams"))
     k = len(model.classes)
-    scored = made.select("line", F.explode("grams").alias("gram")).join(F.broadcast(weights), "gram").groupBy("line").agg(*[F.sum(F.col("w")[i]).alias(f"z{i}") for i in range(k)])
+    scored = held.select("grams", F.explode(F.split("grams", "\n")).alias("gram")).join(F.broadcast(weights), "gram").groupBy("grams").agg(*[F.sum(F.col("w")[i]).alias(f"z{i}") for i in range(k)])
     logits = F.array(*[F.col(f"z{i}") + F.lit(float(model.bias[i])) for i in range(k)])
     top = F.array_max("z")
     p = F.transform("z", lambda v: F.exp(v - F.array_max("z")))
     family = F.element_at(F.array(*[F.lit(c) for c in model.classes]), F.array_position("z", top).cast("int"))
-    scored = scored.select("line", logits.alias("z")).select("line", family.alias("family"), (F.lit(1.0) / F.aggregate(p, F.lit(0.0), lambda a, v: a + v)).alias("score"))
+    scored = scored.select("grams", logits.alias("z")).select("grams", family.alias("family"), (F.lit(1.0) / F.aggregate(p, F.lit(0.0), lambda a, v: a + v)).alias("score"))
     scored = scored.where((F.col("family") != UNKNOWN) & (F.col("score") >= model.threshold))
     sets = _values(spark, [f"({_literal(name)}, {_literal(text)}, array({', '.join(_literal(g) for g in grams(text))}))" for name, ts in TEMPLATES.items() for text in ts], "family, template, held")
-    alike = (F.size(F.array_intersect("grams", "held")) / F.size("held")).alias("similarity")
-    near = scored.join(made, "line").join(F.broadcast(sets), "family").select("line", "family", "score", "template", alike).where(F.col("similarity") >= CONFIRM)
-    best = near.groupBy("line").agg(F.max(F.struct("similarity", "template", "family", "score")).alias("m"))
-    return best.select("line", "m.family", "m.score", "m.template", "m.similarity")
+    alike = (F.size(F.array_intersect(F.split("grams", "\n"), "held")) / F.size("held")).alias("similarity")
+    near = scored.join(F.broadcast(sets), "family").select("grams", "family", "score", "template", alike).where(F.col("similarity") >= CONFIRM)
+    best = near.groupBy("grams").agg(F.max(F.struct("similarity", "template", "family", "score")).alias("m"))
+    return best.select("grams", "m.family", "m.score", "m.template", "m.similarity")
 
 
 @cache
-def cue_words() -> tuple[str, ...]:
-    """Words of which every paragraph that a template can confirm holds one: of each template's n-grams, less than the
-    share that has to be held are without such a word. The longest words are taken first, as the least common."""
+def cue_grams() -> tuple[str, ...]:
+    """N-grams of which every paragraph that a template can confirm holds one: of each template so many that those left
+    are less than the share that has to be held. Pairs of uncommon words are taken first, as the least frequent."""
     chosen: set[str] = set()
-    for ts in TEMPLATES.values():
-        for t in ts:
-            held = [set(g.split()) for g in grams(t)]
-            for word in sorted(set().union(*held) - STOP, key=lambda w: (-len(w), w)):
-                if sum(not g & chosen for g in held) < CONFIRM * len(held):
-                    break
-                chosen.add(word)
-    return tuple(sorted(w for w in chosen if not any(x != w and len(x) > 3 and x in w for x in chosen)))  # found inside longer ones
+    for held in sorted((grams(t) for ts in TEMPLATES.values() for t in ts), key=len):
+        least = next(k for k in range(len(held) + 1) if k / len(held) >= CONFIRM)
+        rare = sorted(held, key=lambda g: (g not in chosen, " " not in g, -sum(w not in STOP for w in g.split()), -len(g), g))
+        chosen.update(rare[: len(held) - least + 1])
+    return tuple(sorted(chosen))
 
 
-def _cue(column):
-    """Whether a cue word occurs; short ones as whole words only."""
-    return F.lower(column).rlike("|".join(w if len(w) > 3 else f"(?<![a-z0-9]){w}(?![a-z0-9])" for w in cue_words()))
+def _branches(rests: set[str]) -> str:
+    """A pattern of any of these n-grams, or ends of some, up to the end of a word; each beginning is tried once."""
+    heads: dict[str, set[str]] = {}
+    for r in rests - {""}:
+        heads.setdefault(r[0], set()).add(r[1:])
+    found = ["(?![a-z0-9])"] * ("" in rests) + [("[^a-z0-9]++" if c == " " else c) + _branches(more) for c, more in sorted(heads.items())]
+    return found[0] if len(found) == 1 else f"(?:{'|'.join(found)})"
+
 
+@cache
+def cue_pattern() -> str:
+    """What a lowered text, with a blank before it, matches if it holds one of cue_grams()."""
+    return "[^a-z0-9]" + _branches(set(cue_grams()))
 
-def _blocks(rows: DataFrame, cue) -> DataFrame:
-    """row, tag, number of the first line and the text of each block of neighbouring non-blank lines, of two at least."""
-    parts = F.split(F.regexp_replace("text", r"(?m)^[ \t\r\f\x0B]+$", ""), "\n\n", -1)
-    made = rows.select("row", "tag", parts.alias("parts")).select("row", "tag", "parts", F.posexplode("parts").alias("i", "part"))
-    line = F.regexp_replace("part", r"^\n+|\n+$", "")
-    found = made.withColumn("line", line).where(F.col("line").contains("\n")).where(cue)
-    count = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n")))
-    before = F.aggregate(F.slice("parts", 1, F.col("i")), F.lit(0), lambda n, x: n + count(x) + 2)
-    lead = F.length("part") - F.length(F.regexp_replace("part", r"^\n+", ""))
-    return found.select("row", "tag", (before + lead).alias("number"), (count(F.col("line")) + 1).alias("lines"), "line")
+
+def _cue(column):
+    """Whether one of cue_grams() occurs."""
+    return F.lower(F.concat(F.lit(" "), column)).rlike(cue_pattern())
+
+
+def _candidates(rows: DataFrame) -> DataFrame:
+    """row, tag, block, number, lines, line: each block of neighbouring non-blank lines of at least two, and each line,
+    if it holds a cue; block is the number of the block's first line."""
+    blank = lambda x: F.btrim(x, F.lit(" \t\r\f\x0b")) == ""
+    some = rows.where(_cue(F.col("text"))).select("row", "tag", F.split("text", "\n", -1).alias("all"))
+    some = some.select("row", "tag", "all", F.concat(F.array(F.lit(True)), F.transform("all", blank), F.array(F.lit(True))).alias("blank"))
+    at = F.sequence(F.lit(0), F.size("all") - 1)
+    inner = lambda i, side: ~F.col("blank")[i + 1] & F.col("blank")[i + side]  # noqa: E731  blank[i + 1] is line i
+    some = some.select("row", "tag", "all", F.filter(at, lambda i: inner(i, 0)).alias("first"), F.filter(at, lambda i: inner(i, 2)).alias("last"))
+    text = lambda a, b: F.array_join(F.slice(F.col("all"), a + 1, b - a + 1), "\n")
+    blocks = F.zip_with("first", "last", lambda a, b: F.struct(a.alias("block"), (b - a + 1).alias("lines"), text(a, b).alias("text")))
+    some = some.select("row", "tag", F.inline(blocks)).where(_cue(F.col("text")))
+    lone = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct((F.col("block") + i).alias("number"), F.lit(1).alias("lines"), x.alias("line")))
+    whole = F.filter(F.array(F.struct(F.col("block").alias("number"), "lines", F.col("text").alias("line"))), lambda c: c["lines"] > 1)
+    return some.select("row", "tag", "block", F.inline(F.filter(F.concat(lone, whole), lambda c: _cue(c["line"]))))
 
 
 def scan_licenses(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -265,30 +294,24 @@ def scan_licenses(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id",
     without one), and of the confirmed paragraph with the largest score (first of equals) its number from 0, family,
     score, template and similarity, else null.
 
-    A paragraph without a cue word cannot be confirmed by any template (see cue_words()), so it is left out before any
+    A paragraph without a cue cannot be confirmed by any template (see cue_grams()), so it is left out before any
     n-gram is made. Notices that are wrapped over lines are found too: each block of neighbouring non-blank lines is
     a further candidate beside its lines, numbered as its first line; it counts unless a line of it already confirmed
-    the same family. Each distinct paragraph is judged once, and a frequent notice is one row after a map-side
-    combine. Repeated rows are all returned; null and empty texts have no paragraph; other columns are not read.
+    the same family. What candidates hold of the model's n-grams is written once; each distinct set of them is judged
+    once, and a frequent notice is one row after a map-side combine. Repeated rows are all returned; null and empty
+    texts have no paragraph; other columns are not read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.split("text", "\n", -1)
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).select("id", F.xxhash64("id", "text").alias("row"), F.xxhash64("text").alias("tag"), "text")
-    cue = _cue("line")
-    some = rows.where(_cue("text"))
-    found = some.select("row", "tag", F.posexplode(lines).alias("number", "line")).where(cue)
-    found = found.withColumn("lines", F.lit(1)).unionByName(_blocks(some, cue))
-    judged = classify_paragraphs(found.select("line").distinct(), model)
-    hits = found.join(judged, "line").dropDuplicates(["row", "tag", "number", "lines"])
-    lone = hits.where("lines = 1").select("row", "tag", "family", F.col("number").alias("at"))
-    inside = (F.col("at") >= F.col("number")) & (F.col("at") < F.col("number") + F.col("lines"))
-    whole = hits.where("lines > 1").alias("h").join(lone.alias("l"), ["row", "tag", "family"], "left")
-    wrapped = whole.groupBy("row", "tag", "number", "family").agg(F.first("score").alias("score"), F.first("template").alias("template"), F.first("similarity").alias("similarity"), F.max(F.coalesce(inside, F.lit(False))).alias("again")).where("NOT again")
+    found = cut(_held(_candidates(rows), model), "licences")
+    hits = found.join(classify_paragraphs(found.select("grams").distinct(), model), "grams").dropDuplicates(["row", "tag", "number", "lines"])
+    lone = hits.where("lines = 1")
+    wrapped = hits.where("lines > 1").join(lone.select("row", "tag", "block", "family"), ["row", "tag", "block", "family"], "left_anti")
     names = ["row", "tag", "number", "family", "score", "template", "similarity"]
-    hits = hits.where("lines = 1").select(*names).unionByName(wrapped.select(*names))
+    hits = lone.select(*names).unionByName(wrapped.select(*names))
     best = F.max(F.struct("score", (-F.col("number")).alias("back"), "family", "template", "similarity")).alias("m")
     per = hits.groupBy("row", "tag").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), best)
-    count = F.size(F.filter(lines, lambda x: F.trim(x) != "")).cast("long").alias("n_paragraphs")
+    count = F.size(F.filter(F.split("text", "\n", -1), lambda x: F.trim(x) != "")).cast("long").alias("n_paragraphs")
     out = rows.select("id", "row", "tag", count).join(per, ["row", "tag"], "left")
     return out.select(
         F.col("id").alias(id_col), "n_paragraphs", F.coalesce("n", F.lit(0).cast("long")).alias("n_licences"), F.coalesce("families", F.lit("")).alias("families"),
